@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from textloom.functions import identity
 from textloom.operators import segmentation
@@ -17,7 +18,9 @@ LANGUAGE_CASES = ("de", "fr", "es", "uk")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    zoneless = [f.name for f in df.schema if isinstance(f.dataType, TimestampNTZType)]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +42,7 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
             .when(turn == 2, F.concat(F.lit("- "), line))
             .when(turn == 3, F.concat(F.lit("  > "), line))
             .when(turn == 4, F.concat(F.lit("| "), line, F.lit(" |  | x\\|y | ")))
-            .when(turn == 5, F.concat(F.lit("| --- | :-: |\n"), line))
+            .when(turn == 5, F.concat(F.lit("| --- | :---: |\n"), line))
             .when(turn == 6, F.concat(F.lit("12) "), line))
             .when(turn == 7, F.concat(F.lit("```sql\n"), line, F.lit("\n``\n````")))
             .when(turn == 8, F.concat(F.lit("   "), line, F.lit("  ")))
@@ -227,7 +230,7 @@ def pages_as_files(spark: SparkSession, sf: str) -> DataFrame:
     tail = F.when(k % 30 == 0, F.unhex(F.lit("FF"))).when(k % 42 == 5, F.unhex(F.lit("00")))
     empty = F.lit(b"")
     return table(spark, sf, "pages").select(
-        F.concat(F.element_at(F.split("url", "//"), -1), suffix).alias("filename"),
+        F.concat(F.replace(F.element_at(F.split("url", "//"), -1), F.lit("."), F.lit("-")), suffix).alias("filename"),
         F.concat(
             F.coalesce(magic, empty), F.encode("html", "UTF-8"), F.coalesce(tail, empty)
         ).alias("content"),

@@ -63,12 +63,11 @@ ERRORS = (
 S, I, L, D, TS = "string", "int", "bigint", "double", "timestamp"
 
 
-def _table(*columns: tuple[str, str]) -> T.StructType:
-    ddl = ", ".join(f"`{name}` {kind}" for name, kind in columns)
-    return T.StructType.fromDDL(ddl)
+def _table(*columns: tuple[str, str]) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in columns)
 
 
-TABLES: dict[str, T.StructType] = {
+TABLES: dict[str, str] = {
     "documents": _table(
         ("id", S), ("filename", S), ("format", S), ("size_bytes", L), ("page_count", I),
         ("storage_path", S), ("status", S), ("error_code", S), ("created_at", TS),
@@ -129,6 +128,11 @@ REFERENCES: tuple[tuple[str, str, str, str], ...] = (
 )
 
 
+def table_schema(name: str) -> T.StructType:
+    """Parsed schema of an engine table; needs a running session."""
+    return T.StructType.fromDDL(TABLES[name])
+
+
 def prices(spark: SparkSession) -> DataFrame:
     """Four fixed rows."""
     return spark.createDataFrame(

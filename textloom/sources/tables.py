@@ -10,7 +10,7 @@ from textloom import schemas
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Columns of an engine table in order and type; absent ones are null, others refused."""
-    wanted = schemas.TABLES[name]
+    wanted = schemas.table_schema(name)
     extra = set(df.columns) - set(wanted.names)
     if extra:
         raise ValueError(f"{name} has no column {sorted(extra)[0]}")

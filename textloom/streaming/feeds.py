@@ -69,7 +69,7 @@ class _EventNames(StatefulProcessor):
             last = row.status
         if out:
             self._last.update((last,))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "ts", "status", "event"])
+            yield pd.DataFrame(out, columns=["job_id", "event_id", "ts", "status", "event"])
 
     def close(self) -> None:
         pass
@@ -111,23 +111,17 @@ class _LeaseWatch(StatefulProcessor):
         if pd.notna(newest):
             # Strictly after the deadline, so one millisecond is added.
             deadline = int(newest) + self._grace + 1
-            now = timerValues.getCurrentWatermarkInMs()
-            if deadline <= now:
+            if deadline <= timerValues.getCurrentWatermarkInMs():
                 yield pd.DataFrame({"chunk_id": [key[0]], "lease_ms": [int(newest)]})
             else:
                 self._handle.registerTimer(deadline)
                 self._lease.update((int(newest), deadline))
-                yield pd.DataFrame({"chunk_id": [], "lease_ms": []})
-        else:
-            yield pd.DataFrame({"chunk_id": [], "lease_ms": []})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self._lease.exists():
             lease = self._lease.get()[0]
             self._lease.clear()
             yield pd.DataFrame({"chunk_id": [key[0]], "lease_ms": [int(lease)]})
-        else:
-            yield pd.DataFrame({"chunk_id": [], "lease_ms": []})
 
     def close(self) -> None:
         pass
