@@ -60,17 +60,49 @@ def trailing_space(col: Column) -> Column:
     return F.substring(col, F.length(rstrip(col)) + 1, F.length(col))
 
 
-def raw_lines(text: Column) -> Column:
-    """Lines with their separators, as an array; no empty tail after a final separator."""
-    return F.regexp_extract_all(text, F.lit(RAW_LINE), F.lit(0))
-
-
-def line_content(raw: Column) -> Column:
-    return F.regexp_replace(raw, LINE_ENDING, "")
-
-
-def line_ending(raw: Column) -> Column:
-    return F.substring(raw, F.length(line_content(raw)) + 1, F.length(raw))
+def _only_newlines(text: Column) -> Column:
+    """Whether every line break of a text is LF or CRLF; byte searches, no regex."""
+    rare = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+    found = F.contains(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"))
+    for separator in rare:
+        found = found | F.contains(text, F.lit(separator))
+    return ~found
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and used several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def lines(text: Column) -> Column:
+    """Lines as an array of (content, ending); no empty line after a final break.
+
+    Line breaks are those of Python's splitlines. Texts with LF or CRLF alone, which is
+    nearly all, are cut at single bytes; the others go through a regex.
+    """
+    def cut(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def one(part: Column, i: Column) -> Column:
+            crlf = part.endswith("\r")
+            content = F.when(crlf, F.substring(part, F.lit(1), F.length(part) - 1)).otherwise(part)
+            ending = F.when(i == last, "").when(crlf, "\r\n").otherwise("\n")
+            return F.struct(content.alias("content"), ending.alias("ending"))
+
+        kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), last)).otherwise(
+            parts
+        )
+        return F.transform(kept, one)
+
+    plain = let(F.split(text, "\n", -1), cut)
+    rare = F.transform(
+        F.regexp_extract_all(text, F.lit(RAW_LINE), F.lit(0)),
+        lambda raw: F.struct(
+            F.regexp_replace(raw, LINE_ENDING, "").alias("content"),
+            F.regexp_extract(raw, LINE_ENDING, 0).alias("ending"),
+        ),
+    )
+    return F.when(_only_newlines(text), plain).otherwise(rare)
 
 
 def casefold(col: Column) -> Column:

@@ -8,6 +8,7 @@ scan, generate, project.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from textloom.functions import identity, text
 HEADING = r"(?s)^( {0,3}#{1,6}[ \t]+)"
 LIST_ITEM = r"(?s)^( {0,3}(?:[-*+]|\p{Nd}++[.)])[ \t]+)"
 QUOTE = r"(?s)^( {0,3}>[ \t]?)"
+MARK = r"[#\-*+>\p{Nd}]"
 PREFIX_ONLY = (
     r"^ {0,3}(?:#{1,6}[ \t]+|(?:[-*+]|\p{Nd}++[.)])[ \t]+|>[ \t]?)" + text.SPACE_CLASS + r"*+\z"
 )
@@ -72,19 +74,25 @@ def explode_lines(docs: DataFrame, id_col: str = "id", text_col: str = "text") -
     """(document_id, line, content, ending), numbered from 1."""
     numbered = docs.select(
         F.col(id_col).alias("document_id"),
-        F.posexplode(text.raw_lines(F.col(text_col))).alias("pos", "raw"),
+        F.posexplode(text.lines(F.col(text_col))).alias("pos", "l"),
     )
     return numbered.select(
         "document_id",
         (F.col("pos") + 1).alias("line"),
-        text.line_content(F.col("raw")).alias("content"),
-        text.line_ending(F.col("raw")).alias("ending"),
+        F.col("l.content").alias("content"),
+        F.col("l.ending").alias("ending"),
     )
 
 
+def may_be_marked(content: Column) -> Column:
+    """Cheap test of the first character; most lines are prose and skip the regexes."""
+    return F.regexp_like(F.substring(F.ltrim(content), 1, 1), F.lit(MARK))
+
+
 def line_kind(content: Column) -> Column:
     return (
-        F.when(content.rlike(HEADING), "heading")
+        F.when(~may_be_marked(content), "paragraph")
+        .when(content.rlike(HEADING), "heading")
         .when(content.rlike(LIST_ITEM), "list_item")
         .when(content.rlike(QUOTE), "quote")
         .otherwise("paragraph")
@@ -99,7 +107,7 @@ def line_prefix(content: Column) -> Column:
             for pattern in (HEADING, LIST_ITEM, QUOTE)
         ]
     )
-    return F.coalesce(marked, text.leading_space(content))
+    return F.coalesce(F.when(may_be_marked(content), marked), text.leading_space(content))
 
 
 def heading_level(content: Column) -> Column:
@@ -139,9 +147,12 @@ def split_affixes(lines: DataFrame) -> DataFrame:
 def table_cells(content: Column) -> Column:
     """Raw cells of a row with both outer pipes, otherwise null."""
     inner = F.btrim(content, F.lit(" \t"))
-    cells = F.regexp_extract_all(inner, F.lit(CELL), F.lit(1))
     framed = inner.startswith("|") & F.regexp_like(inner, F.lit(UNESCAPED_END))
-    return F.when(framed & (F.size(cells) > 2), F.slice(cells, F.lit(2), F.size(cells) - 2))
+    inside = text.let(
+        F.regexp_extract_all(inner, F.lit(CELL), F.lit(1)),
+        lambda c: F.when(F.size(c) > 2, F.slice(c, F.lit(2), F.size(c) - 2)),
+    )
+    return F.when(framed, inside)
 
 
 def _is_separator(cells: Column) -> Column:
@@ -189,17 +200,14 @@ def _row_units(row: Column) -> Column:
 
 def _units(document: Column) -> Column:
     """All block candidates of one document in order, as one array."""
-    lines = F.transform(
-        text.raw_lines(document),
-        lambda raw, i: F.struct((i + 1).alias("line"), text.line_content(raw).alias("content")),
-    )
     parsed = F.transform(
-        F.filter(lines, lambda x: ~text.is_blank(x["content"])),
-        lambda x: F.struct(
-            x["line"].alias("line"), x["content"].alias("content"),
+        text.lines(document),
+        lambda x, i: F.struct(
+            (i + 1).alias("line"), x["content"].alias("content"),
             table_cells(x["content"]).alias("cells"),
         ),
     )
+    parsed = F.filter(parsed, lambda x: ~text.is_blank(x["content"]))
     none = F.array().cast(f"array<{_UNIT}>")
     return F.flatten(
         F.transform(
@@ -208,24 +216,36 @@ def _units(document: Column) -> Column:
                 x["cells"].isNotNull(),
                 F.when(_is_separator(x["cells"]), none).otherwise(_row_units(x)),
             )
-            .when(F.regexp_like(x["content"], F.lit(PREFIX_ONLY)), none)
+            .when(
+                may_be_marked(x["content"])
+                & F.regexp_like(x["content"], F.lit(PREFIX_ONLY)), none
+            )
             .otherwise(F.array(_unit(x["line"], x["content"]))),
         )
     )
 
 
 def segment_markdown(
-    docs: DataFrame, id_col: str = "id", text_col: str = "text", fences: bool = True
+    docs: DataFrame,
+    id_col: str = "id",
+    text_col: str = "text",
+    fences: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Blocks of Markdown documents with ids, hashes and rebuild metadata."""
+    """Blocks of Markdown documents with ids, hashes and rebuild metadata.
+
+    ``keep`` names document columns to carry to every block, which saves a join later.
+    """
     document = mask_code_fences(F.col(text_col)) if fences else F.col(text_col)
     units = docs.select(
-        F.col(id_col).alias("document_id"), F.posexplode(_units(document)).alias("seq", "u")
+        F.col(id_col).alias("document_id"), *keep,
+        F.posexplode(_units(document)).alias("seq", "u"),
     )
     raw, is_cell = F.col("u.raw"), F.col("u.column").isNotNull()
     blank_cell = is_cell & text.is_blank(raw)
     shaped = units.select(
         "document_id",
+        *keep,
         "seq",
         F.col("u.line").alias("line"),
         F.when(is_cell, "table_cell").otherwise(line_kind(raw)).alias("kind"),
@@ -247,6 +267,7 @@ def segment_markdown(
     kind, body = F.col("kind"), F.col("body")
     return shaped.select(
         "document_id",
+        *keep,
         "seq",
         identity.block_id(F.col("document_id"), F.col("seq")).alias("id"),
         text.strip(body).alias("source_text"),

@@ -6,7 +6,7 @@ query grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
@@ -230,7 +230,8 @@ def pages_as_files(spark: SparkSession, sf: str) -> DataFrame:
     tail = F.when(k % 30 == 0, F.unhex(F.lit("FF"))).when(k % 42 == 5, F.unhex(F.lit("00")))
     empty = F.lit(b"")
     return table(spark, sf, "pages").select(
-        F.concat(F.replace(F.element_at(F.split("url", "//"), -1), F.lit("."), F.lit("-")), suffix).alias("filename"),
+        F.concat(F.replace(F.element_at(F.split("url", "//"), -1), F.lit("."), F.lit("-")), F.lit("p"),
+                 suffix).alias("filename"),
         F.concat(
             F.coalesce(magic, empty), F.encode("html", "UTF-8"), F.coalesce(tail, empty)
         ).alias("content"),
@@ -245,36 +246,47 @@ PLAN = {
 }
 
 
-def document_keys(spark: SparkSession, sf: str, targets=("de", "uk")) -> DataFrame:
-    """document_id, target, translation_key for every document and target language."""
-    docs = documents(spark, sf).select(F.col("id").alias("document_id"), "lang")
-    fanned = docs.select("*", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
+def _targets(targets) -> Column:
+    """(target, translation_key) of a document for every target language."""
     no_terms = F.array().cast("array<string>")
     digest = identity.plan_hash(
         source_language=F.col("lang"), domain=F.lit(PLAN["domain"]),
         register=F.lit(PLAN["register"]), terms=no_terms, warnings=no_terms,
         triage_status=F.lit("ok"),
     )
-    key = identity.translation_key(
-        F.col("target"), F.lit("gpt-4o-mini"), F.lit(PLAN["prompt_version"]),
-        F.map_from_arrays(no_terms, no_terms), digest,
-    )
-    return fanned.withColumn("translation_key", key)
+    return F.array(*[
+        F.struct(
+            F.lit(t).alias("target"),
+            identity.translation_key(
+                F.lit(t), F.lit("gpt-4o-mini"), F.lit(PLAN["prompt_version"]),
+                F.map_from_arrays(no_terms, no_terms), digest,
+            ).alias("translation_key"),
+        )
+        for t in targets
+    ])
 
 
-def keyed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of every document and target with their translation key."""
-    keys = document_keys(spark, sf)
-    return blocks(spark, sf).select(
-        "document_id", "seq", "id", "source_text", "source_hash"
-    ).join(keys, "document_id")
+def document_keys(spark: SparkSession, sf: str, targets=("de", "uk")) -> DataFrame:
+    """document_id, target, translation_key for every document and target language."""
+    docs = documents(spark, sf).select(F.col("id").alias("document_id"), "lang")
+    return docs.select("*", F.inline(_targets(targets)))
+
+
+def keyed_blocks(spark: SparkSession, sf: str, targets=("de", "uk")) -> DataFrame:
+    """Blocks of every document and target with their translation key.
+
+    Keys are made per document and travel with its blocks, so no join is needed.
+    """
+    docs = documents(spark, sf).withColumn("targets", _targets(targets))
+    cut = segmentation.segment_markdown(docs, fences=False, keep=["lang", "targets"])
+    return cut.select(
+        "document_id", "lang", "seq", "id", "source_text", "source_hash", F.inline("targets")
+    )
 
 
 def memory(spark: SparkSession, sf: str) -> DataFrame:
     """Results stored earlier: the German side of every even document, first one kept."""
-    done = keyed_blocks(spark, sf).where(
-        (F.col("document_id").cast("bigint") % 2 == 0) & (F.col("target") == "de")
-    )
+    done = keyed_blocks(spark, sf, ("de",)).where(F.col("document_id").cast("bigint") % 2 == 0)
     return done.groupBy("translation_key", "source_hash").agg(
         F.min(F.concat(F.lit("[de] "), F.col("source_text"))).alias("translated_text")
     )

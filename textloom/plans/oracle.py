@@ -201,7 +201,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           min(target) AS target FROM missing GROUP BY ALL"""),
     "pages_files": ((), f"""
         SELECT page_id AS upload_no,
-          replace(string_split(url, '//')[-1], '.', '-') || {pick((".md", ".pdf", ".docx", "", ".exe", ".MD"),
+          replace(string_split(url, '//')[-1], '.', '-') || 'p' || {pick((".md", ".pdf", ".docx", "", ".exe", ".MD"),
                                                 "page_id % 6")} AS filename,
           {pick(("md", "pdf", "docx", "", "exe", "md"), "page_id % 6")} AS given,
           (CASE WHEN page_id % 6 = 1 AND page_id % 4 = 1 THEN encode('%PDF-')

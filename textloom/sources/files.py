@@ -123,9 +123,9 @@ def admit(files: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def aligned_lines(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """(id, position, text) for every line of parallel text."""
-    lines = F.posexplode(text.raw_lines(F.col(text_col)))
-    return docs.select(F.col(id_col).alias("id"), lines.alias("position", "_raw")).select(
-        "id", "position", text.line_content(F.col("_raw")).alias(name)
+    lines = F.posexplode(text.lines(F.col(text_col)))
+    return docs.select(F.col(id_col).alias("id"), lines.alias("position", "_line")).select(
+        "id", "position", F.col("_line.content").alias(name)
     )
 
 
