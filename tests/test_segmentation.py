@@ -174,8 +174,8 @@ def test_untranslated_documents_come_back_unchanged(spark):
 
 
 def test_geometry_errors(spark):
-    _, rows = blocks_of(spark, "|a|b|\nprose\nmore\n")
-    frame = spark.createDataFrame(rows)
+    docs, _ = blocks_of(spark, "|a|b|\nprose\nmore\n")
+    frame = segmentation.segment_markdown(docs)
     lines = spark.createDataFrame([("0", 3)], "document_id string, lines int")
     assert rebuild.geometry_errors(frame, lines).count() == 0
     lost = frame.where("not (column = 1) or column is null")

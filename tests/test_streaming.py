@@ -76,19 +76,18 @@ UNITS = ("translation_key string, source_hash string, source_text string, target
          "model string")
 
 
-class CountingProvider:
-    def __init__(self, folder):
-        self.folder = folder
-
-    def translate(self, source, language, model):
-        import os
-        open(os.path.join(self.folder, f"{source}-{os.urandom(6).hex()}"), "w").close()
-        if source == "no":
-            raise inference.ProviderFailure("provider_refusal")
-        return source.upper(), 1, 1
+def test_incremental_translation_never_repeats_stored_work(spark, tmp_path):
+    class CountingProvider:
+        def __init__(self, folder):
+            self.folder = folder
 
+        def translate(self, source, language, model):
+            import os
+            open(os.path.join(self.folder, f"{source}-{os.urandom(6).hex()}"), "w").close()
+            if source == "no":
+                raise inference.ProviderFailure("provider_refusal")
+            return source.upper(), 1, 1
 
-def test_incremental_translation_never_repeats_stored_work(spark, tmp_path):
     folder, calls = str(tmp_path / "in"), tmp_path / "calls"
     calls.mkdir()
     for batch in (["a", "b", "a", "no"], ["b", "c"], ["a", "c"]):

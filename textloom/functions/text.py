@@ -111,7 +111,7 @@ def casefold(col: Column) -> Column:
 
 def count_class(col: Column, char_class: str) -> Column:
     """Characters of ``col`` inside a regex class."""
-    return F.length(F.regexp_replace(col, f"[^{char_class}]", ""))
+    return F.length(F.regexp_replace(col, f"[^{char_class}]++", ""))
 
 
 def strip_nonprinting(col: Column) -> Column:

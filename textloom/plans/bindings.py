@@ -23,10 +23,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core some rows when the files have fewer splits than there are cores.
+
+    Text work is bound by the processor, and a small table often is one row group. Tables of
+    many files already have more splits and are left alone, without a shuffle. The hash of
+    the document id is kept by what follows, so grouping by document does not shuffle again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """id, text, lang: the corpus as it is."""
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), "text", "lang"
+    return spread(
+        table(spark, sf, "documents").select(
+            F.col("doc_id").cast("string").alias("id"), "text", "lang"
+        ),
+        "id",
     )
 
 
@@ -66,12 +82,13 @@ def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as documents, turns as blocks; system turns stand for blank blocks."""
-    return table(spark, sf, "conversations").select(
+    rows = table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("document_id"),
         F.col("turn").cast("int").alias("seq"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.when(F.col("role") == "system", "").otherwise(F.col("text")).alias("source_text"),
     )
+    return spread(rows, "id")
 
 
 def analyses(spark: SparkSession, sf: str) -> DataFrame:

@@ -1266,10 +1266,9 @@ def _literal_texts(spark, sf):
         (k % 9 + 1).cast("string"), F.lit("-11 for $"), (k % 50).cast("string"),
         F.lit(".50 or EUR 80, "), (k % 100).cast("string"), F.lit("% of "), k.cast("string"),
     )
-    return b.table(spark, sf, "documents").select(
-        k.alias("pair_id"), pad.alias("source"),
-        F.translate(pad, "37$", "48€").alias("translated"),
-    )
+    padded = b.spread(b.table(spark, sf, "documents").select(k.alias("pair_id"),
+                                                             pad.alias("source")), "pair_id")
+    return padded.withColumn("translated", F.translate("source", "37$", "48€"))
 
 
 @query

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +46,10 @@ def output_conflicts(outputs: DataFrame, published: DataFrame | None = None) ->
 def write_outputs(outputs: DataFrame, path: str, publish: int = 64) -> DataFrame:
     """Publish one artifact per job; publishing again replaces the job's artifact.
 
-    ``outputs``: job_id, filename, content. Jobs are hashed into ``publish`` partitions; only
-    partitions that receive rows are rewritten, together with the jobs they already hold.
-    Jobs in conflict are left unpublished and returned.
+    ``outputs``: job_id, filename, content. Jobs are hashed into ``publish`` folders, to be
+    chosen so that one folder is cheap to rewrite; only folders that receive rows are
+    rewritten, together with the jobs they already hold. Jobs in conflict are left unpublished
+    and returned.
     """
     spark = outputs.sparkSession
     part = F.pmod(F.hash("job_id"), F.lit(publish))
@@ -53,24 +57,25 @@ def write_outputs(outputs: DataFrame, path: str, publish: int = 64) -> DataFrame
     schema = placed.schema
     try:
         published = spark.read.schema(schema).parquet(path)
-        published.take(1)
-    except Exception as error:  # nothing has been published yet
+    except AnalysisException as error:  # nothing has been published yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
         published = spark.createDataFrame([], schema)
-    conflicts = output_conflicts(outputs, published)
+    # The target cannot be read while it is replaced, so everything that depends on it is
+    # written beside it first. A lost executor then only repeats tasks over stored data.
+    staging = f"{path.rstrip('/')}.staging/{uuid.uuid4().hex}"
+    output_conflicts(outputs, published).write.parquet(f"{staging}/conflicts")
+    conflicts = spark.read.parquet(f"{staging}/conflicts")
     fresh = placed.join(conflicts.select("job_id"), "job_id", "left_anti")
-    touched = fresh.select("part").distinct()
-    kept = published.join(F.broadcast(touched), "part", "left_semi").join(
+    # At most ``publish`` folder numbers.
+    touched = F.broadcast(fresh.select("part").distinct())
+    kept = published.join(touched, "part", "left_semi").join(
         fresh.select("job_id"), "job_id", "left_anti"
     )
-    whole = fresh.unionByName(kept)
-    # Read back from the written copy: the target cannot be read while it is replaced.
-    staging = f"{path.rstrip('/')}.staging"
-    whole.write.mode("overwrite").parquet(staging)
+    fresh.unionByName(kept).write.parquet(f"{staging}/rows")
     (
-        spark.read.schema(schema).parquet(staging)
-        .repartition("part")
+        spark.read.schema(schema).parquet(f"{staging}/rows")
+        .hint("rebalance", "part")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("part")

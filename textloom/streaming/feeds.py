@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -200,7 +201,7 @@ def read_memory(spark, memory_path: str, before: int | None = None) -> DataFrame
     schema = f"{inference.RESULT}, created_at timestamp, batch int"
     try:
         rows = spark.read.schema(schema).parquet(memory_path)
-    except Exception as error:  # no batch has been written yet
+    except AnalysisException as error:  # no batch has been written yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
         rows = spark.createDataFrame([], schema)
