@@ -183,8 +183,8 @@ def search_blocks(blocks: DataFrame, keyword: str, k: int = LISTED_BLOCKS) -> Da
 def bounded_payload(rows: DataFrame, entry: Column, limit: int = PAYLOAD_CHARS) -> DataFrame:
     """One compact JSON list per document, cut after the last row that still fits.
 
-    ``rows`` has document_id, seq and the columns of ``entry``. Rows past the limit leave the
-    plan before anything is gathered, so a group holds at most ``limit`` characters.
+    ``rows`` has document_id, seq and the columns of ``entry``. A group gathers at most
+    ``limit`` characters, however long the document is.
     """
     encoded = rows.select(
         "document_id", F.col("seq").cast("bigint").alias("seq"),
@@ -196,18 +196,15 @@ def bounded_payload(rows: DataFrame, entry: Column, limit: int = PAYLOAD_CHARS)
     )
     # Brackets and separators: n rows take their own lengths, n - 1 commas and 2 brackets.
     fits = F.col("start") + F.length("json") + 2 <= limit
-    kept = placed.select("document_id", "seq", F.when(fits, F.col("json")).alias("json")).where(
-        F.col("json").isNotNull()
+    # Rows that do not fit become null, and null is never gathered.
+    lists = placed.groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.when(fits, F.struct("seq", "json")))).alias("parts")
     )
-    lists = kept.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "json"))).alias("parts")
-    )
-    every = rows.select("document_id").distinct()
-    return every.join(lists, "document_id", "left").select(
+    return lists.select(
         "document_id",
         F.concat(
             F.lit("["),
-            F.coalesce(F.array_join(F.transform("parts", lambda p: p["json"]), ","), F.lit("")),
+            F.array_join(F.transform("parts", lambda p: p["json"]), ","),
             F.lit("]"),
         ).alias("payload"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,25 @@ def misses(blocks: DataFrame, memory: DataFrame) -> DataFrame:
     return blocks.join(memory.select(*KEY), KEY, "left_anti")
 
 
-def distinct_units(missing: DataFrame) -> DataFrame:
-    """Texts to infer, each once. Repeats collapse map-side before the shuffle."""
-    return missing.groupBy(*KEY).agg(
+def distinct_units(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Texts to infer, each once. Repeats collapse map-side before the shuffle.
+
+    ``keep`` names further columns that the key determines.
+    """
+    return blocks.groupBy(*KEY, *keep).agg(
         F.min("source_text").alias("source_text"), F.count(F.lit(1)).alias("blocks")
     )
 
 
+def new_units(blocks: DataFrame, memory: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Distinct texts the memory lacks.
+
+    Repeats go first and the anti-join second: a text that fills a third of the corpus then
+    enters the join as one row.
+    """
+    return distinct_units(blocks, keep).join(memory.select(*KEY), KEY, "left_anti")
+
+
 def hit_miss_counts(blocks: DataFrame, memory: DataFrame, job: list[str]) -> DataFrame:
     """Hits and misses per job, counted per block, repeats included.
 

@@ -22,7 +22,7 @@ from textloom.operators import (
     state,
 )
 from textloom.plans import bindings as b
-from textloom.session import shared_folder
+from textloom.session import shared_folder, tune
 from textloom.sources import files, tables
 from textloom.streaming import feeds
 
@@ -37,8 +37,8 @@ def query(function: Query) -> Query:
     """Register a query under its own name, with plain integer columns as bigint."""
 
     def plain(spark: SparkSession, sf: str) -> DataFrame:
-        # The given timestamps carry no zone; they are read as UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # Among others: the given timestamps carry no zone and are read as UTC.
+        tune(spark)
         df = function(spark, sf)
         narrow = (T.IntegerType, T.ShortType, T.ByteType, T.DateType)
         return df.select(*[
@@ -600,8 +600,7 @@ def misses(spark, sf):
 
 @query
 def distinct_units(spark, sf):
-    missing = reuse.misses(b.keyed_blocks(spark, sf), b.memory(spark, sf))
-    return reuse.distinct_units(missing)
+    return reuse.new_units(b.keyed_blocks(spark, sf), b.memory(spark, sf))
 
 
 @query
@@ -637,7 +636,7 @@ def hit_ratio_between_snapshots(spark, sf):
         (F.col("event_id") * 2 + F.col("event_id") % 7).alias("misses"),
     )
     ratios = reuse.hit_ratio_between_snapshots(
-        shots, ["user_id"], F.col("ts"), F.unix_date(F.to_date("ts"))
+        shots, ["user_id"], F.col("ts"), _hour("ts")
     )
     return ratios.select("user_id", "hits", F.round("ratio", 6).alias("ratio"))
 
@@ -695,11 +694,11 @@ def reuse_report(spark, sf):
 
 
 def _units(spark, sf):
-    missing = reuse.misses(b.keyed_blocks(spark, sf), b.memory(spark, sf))
-    return missing.groupBy(*reuse.KEY).agg(
-        F.min("source_text").alias("source_text"), F.min("target").alias("target_language"),
+    keyed = b.keyed_blocks(spark, sf).select(
+        *reuse.KEY, "source_text", F.col("target").alias("target_language"),
         F.lit("gpt-4o-mini").alias("model"),
     )
+    return reuse.new_units(keyed, b.memory(spark, sf), ["target_language", "model"])
 
 
 @query
@@ -1301,13 +1300,13 @@ def quality_report(spark, sf):
 # --- streaming -----------------------------------------------------------------------
 
 
-def _day(column: str) -> Column:
-    return F.unix_date(F.to_date(column))
+def _hour(column: str) -> Column:
+    return F.floor(F.unix_seconds(F.col(column)) / 3600)
 
 
 @query
 def job_event_feed(spark, sf):
-    feed = feeds.job_event_feed(b.observations(spark, sf), _day("ts"))
+    feed = feeds.job_event_feed(b.observations(spark, sf), _hour("ts"))
     return feed.select("job_id", "event_id", "status", "event")
 
 
@@ -1339,16 +1338,8 @@ def _replay(spark, frame, name, mode="append"):
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
-def _with_rocksdb(spark):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-
-
 @query
 def job_event_stream(spark, sf):
-    _with_rocksdb(spark)
     out = _replay(spark, feeds.job_event_stream(_event_stream(spark, sf)), "feed")
     return out.select("job_id", "event_id", "status", "event")
 
@@ -1356,7 +1347,6 @@ def job_event_stream(spark, sf):
 @query
 def stale_monitor(spark, sf):
     """Each user's events renew a six-hour lease; quiet stretches after the last one show."""
-    _with_rocksdb(spark)
     leases = _event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("chunk_id"), "ts",
         F.when(F.col("status") != "done", F.timestamp_micros(

@@ -14,6 +14,8 @@ SETTINGS = {
     # Joins that attach one row per key to many rows are split at run time when one
     # key dominates; the unique side is what gets replicated.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where the next step groups by the same key and needs one more shuffle for it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.streaming.stateStore.providerClass": (
@@ -32,6 +34,13 @@ def build_session(app: str = "textloom", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply the settings to a session that somebody else has built."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 

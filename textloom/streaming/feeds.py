@@ -182,9 +182,8 @@ def incremental_translate(
     """
     def translate(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = reuse.misses(batch, read_memory(spark, memory_path, before=epoch))
-        units = fresh.groupBy(*reuse.KEY, "target_language", "model").agg(
-            F.min("source_text").alias("source_text")
+        units = reuse.new_units(
+            batch, read_memory(spark, memory_path, before=epoch), ["target_language", "model"]
         )
         done = inference.infer(units, provider, **options)
         done.withColumn("created_at", F.lit(None).cast("timestamp")).write.mode(
