@@ -102,28 +102,31 @@ def count_tokens(
 # spans independently. The result is the same as one pass over the document.
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Contiguous rows with equal keys from a sorted stream, across batch borders."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        change = np.zeros(len(batch), dtype=bool)
+def _whole_runs(
+    batches: Iterator[pd.DataFrame], keys: list[str]
+) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames of complete runs of equal keys from a sorted stream, with the run borders.
+
+    The last run of a batch waits for the next batch, which may continue it.
+    """
+    def borders(frame: pd.DataFrame) -> list[int]:
+        change = np.zeros(len(frame), dtype=bool)
         for key in keys:
-            values = batch[key].to_numpy()
+            values = frame[key].to_numpy()
             change[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
-        pieces = [batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        if held and all(held[0][k].iloc[0] == pieces[0][k].iloc[0] for k in keys):
-            held.append(pieces.pop(0))
-        if not pieces:
+        return [0, *np.flatnonzero(change).tolist(), len(frame)]
+
+    held = None
+    for batch in batches:
+        if batch.empty:
             continue
-        if held:
-            yield pd.concat(held) if len(held) > 1 else held[0]
-        yield from pieces[:-1]
-        held = [pieces[-1]]
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        cuts = borders(frame)
+        held = frame.iloc[cuts[-2]:].reset_index(drop=True)
+        if len(cuts) > 2:
+            yield frame.iloc[:cuts[-2]], cuts[:-1]
+    if held is not None:
+        yield held, [0, len(held)]
 
 
 def _unit_starts(upto: np.ndarray, first: int, budget: int) -> list[int]:
@@ -136,36 +139,35 @@ def _unit_starts(upto: np.ndarray, first: int, budget: int) -> list[int]:
     return starts
 
 
+def _profile(tokens: np.ndarray, budget: int) -> tuple:
+    """How one span leaves the open unit, for every block the unit may end before."""
+    upto = np.cumsum(tokens)
+    count = len(upto)
+    reach = min(count, int(np.searchsorted(upto, budget, side="right")) + 1)
+    before = np.concatenate(([0], upto))
+    follow = np.maximum(
+        np.searchsorted(upto, before[:-1] + budget, side="right"), np.arange(count) + 1
+    ).tolist()
+    units, tail = [0] * (count + 1), [count] * (count + 1)
+    for i in range(count - 1, -1, -1):
+        after = follow[i]
+        units[i] = 1 + units[after]
+        tail[i] = tail[after] if after < count else i
+    at = np.array(tail[:reach])
+    return (
+        upto[:reach].tolist(), units[:reach], (upto[-1] - before[at]).tolist(),
+        (count - at).tolist(), int(upto[-1]), count,
+    )
+
+
 def _span_profiles(budget: int):
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, ["document_id", "bucket"]):
-            upto = np.cumsum(run["tokens"].to_numpy())
-            count = len(upto)
-            reach = min(count, int(np.searchsorted(upto, budget, side="right")) + 1)
-            # Where the unit that starts at i would end, walked from the back.
-            units = np.zeros(count + 1, dtype=np.int64)
-            tail = np.full(count + 1, count, dtype=np.int64)
-            before = np.concatenate(([0], upto))
-            follow = np.maximum(
-                np.searchsorted(upto, before[:-1] + budget, side="right"), np.arange(count) + 1
-            )
-            for i in range(count - 1, -1, -1):
-                after = follow[i]
-                units[i] = 1 + units[after]
-                tail[i] = tail[after] if after < count else i
-            at = tail[:reach]
-            yield pd.DataFrame(
-                {
-                    "document_id": [run["document_id"].iloc[0]],
-                    "bucket": [run["bucket"].iloc[0]],
-                    "upto": [upto[:reach].tolist()],
-                    "units": [units[:reach].tolist()],
-                    "tail_tokens": [(upto[-1] - before[at]).tolist()],
-                    "tail_items": [(count - at).tolist()],
-                    "total": [int(upto[-1])],
-                    "items": [count],
-                }
-            )
+        for frame, cuts in _whole_runs(batches, ["document_id", "bucket"]):
+            tokens = frame["tokens"].to_numpy()
+            rows = [_profile(tokens[a:b], budget) for a, b in zip(cuts, cuts[1:], strict=False)]
+            heads = frame[["document_id", "bucket"]].iloc[cuts[:-1]].reset_index(drop=True)
+            columns = ["upto", "units", "tail_tokens", "tail_items", "total", "items"]
+            yield heads.join(pd.DataFrame(rows, columns=columns))
 
     return profile
 
@@ -183,31 +185,41 @@ def _entry_states(budget: int):
             rows = []
             for row in batch.itertuples(index=False):
                 if row.document_id != document:
+                    # The first span of a document enters with nothing open.
                     document, unit, fill, items = row.document_id, -1, budget + 1, 0
-                rows.append((document, row.bucket, unit, fill, items))
+                else:
+                    rows.append((document, row.bucket, unit, fill, items))
                 at = int(np.searchsorted(row.upto, budget - fill, side="right"))
                 if at < len(row.upto):
                     unit += int(row.units[at])
                     fill, items = int(row.tail_tokens[at]), int(row.tail_items[at])
                 else:
                     fill, items = fill + int(row.total), items + int(row.items)
-            yield pd.DataFrame(rows, columns=["document_id", "bucket", "unit", "fill", "held"])
+            if rows:
+                yield pd.DataFrame(
+                    rows, columns=["document_id", "bucket", "unit", "fill", "held"]
+                )
 
     return walk
 
 
 def _pack_spans(budget: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, ["document_id", "bucket"]):
-            upto = np.cumsum(run["tokens"].to_numpy())
-            unit, fill, held = (int(run[c].iloc[0]) for c in ("unit", "fill", "held"))
-            first = int(np.searchsorted(upto, budget - fill, side="right"))
-            starts = _unit_starts(upto, first, budget)
-            position = np.arange(len(upto))
-            behind = np.searchsorted(starts, position, side="right")
-            origin = np.concatenate(([-held], starts)).astype(np.int64)[behind]
-            yield run[["document_id", "seq", "id", "tokens"]].assign(
-                chunk_seq=unit + behind, seq_in_chunk=position - origin
+        for frame, cuts in _whole_runs(batches, ["document_id", "bucket"]):
+            tokens = frame["tokens"].to_numpy()
+            unit, fill, held = (frame[c].to_numpy() for c in ("unit", "fill", "held"))
+            chunk = np.zeros(len(frame), dtype=np.int64)
+            place = np.zeros(len(frame), dtype=np.int64)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                upto = np.cumsum(tokens[a:b])
+                first = int(np.searchsorted(upto, budget - fill[a], side="right"))
+                starts = _unit_starts(upto, first, budget)
+                position = np.arange(b - a)
+                behind = np.searchsorted(starts, position, side="right")
+                chunk[a:b] = unit[a] + behind
+                place[a:b] = position - np.array([-held[a], *starts])[behind]
+            yield frame[["document_id", "seq", "id", "tokens"]].assign(
+                chunk_seq=chunk, seq_in_chunk=place
             )
 
     return pack
@@ -228,17 +240,12 @@ def pack_chunks(
         span(F.col("seq"), bucket_rows).alias("bucket"),
     )
     keys = ["document_id", "bucket"]
-    # Only documents that reach past their first span need the records of earlier spans.
-    long = spans.groupBy("document_id").agg(
-        F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi")
-    ).where(F.col("_hi") > F.col("_lo")).select("document_id")
-    profiles = (
-        spans.join(long, "document_id", "left_semi")
-        .select(*keys, "seq", "tokens")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "seq")
-        .mapInPandas(_span_profiles(budget), _PROFILE)
+    # Both passes read this one exchange, so the blocks are derived once.
+    placed = spans.repartition(*keys)
+    profiles = placed.sortWithinPartitions(*keys, "seq").mapInPandas(
+        _span_profiles(budget), _PROFILE
     )
+    # Spans after a document's first one; usually few, as most documents are one span.
     states = (
         profiles.repartition("document_id")
         .sortWithinPartitions(*keys)
@@ -247,8 +254,9 @@ def pack_chunks(
             "document_id string, bucket bigint, unit bigint, fill bigint, held bigint",
         )
     )
+    # Partitioned again after the join: a skewed join may be split anywhere in a span.
     return (
-        spans.join(states, keys, "left")
+        placed.join(states, keys, "left")
         .fillna({"unit": -1, "fill": budget + 1, "held": 0})
         .repartition(*keys)
         .sortWithinPartitions(*keys, "seq")
