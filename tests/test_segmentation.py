@@ -146,7 +146,7 @@ def rebuilt(spark, document, translate):
                                         "translated_text string")
     blocks = segmentation.segment_markdown(docs).join(frame, ["document_id", "seq"])
     rendered = rebuild.render_blocks(blocks)
-    out = rebuild.rebuild_documents(rebuild.rebuild_lines(docs, rendered)).collect()
+    out = rebuild.rebuild_documents(rebuild.rebuild_lines(docs, rendered, frame)).collect()
     return out[0].text
 
 

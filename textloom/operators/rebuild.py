@@ -36,14 +36,15 @@ def render_blocks(translated: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_lines(docs: DataFrame, rendered: DataFrame) -> DataFrame:
+def rebuild_lines(docs: DataFrame, rendered: DataFrame, targets: DataFrame) -> DataFrame:
     """(document_id, target, line, content, ending) for every line of every target.
 
-    Lines meet their blocks on (document, target, line), so a long document is spread over
-    tasks. Only a table row has more than one block.
+    ``targets`` (document_id, target) says what to rebuild and joins whole documents, before
+    they are cut. Lines meet their blocks on (document, target, line), so a long document is
+    spread over tasks. Only a table row has more than one block.
     """
-    targets = rendered.select("document_id", "target").distinct()
-    lines = segmentation.explode_lines(docs).join(targets, "document_id")
+    wanted = targets.select(F.col("document_id").alias("id"), "target").distinct()
+    lines = segmentation.explode_lines(docs.join(wanted, "id"), keep=["target"])
     cells = F.array_sort(F.collect_list(F.struct("column", "rendered")))
     per_line = rendered.where(F.col("rendered").isNotNull()).groupBy(
         "document_id", "target", "line"

@@ -70,14 +70,18 @@ def mask_code_fences(document: Column) -> Column:
     return F.coalesce(_blank_fences(candidate), document)
 
 
-def explode_lines(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(document_id, line, content, ending), numbered from 1."""
+def explode_lines(
+    docs: DataFrame, id_col: str = "id", text_col: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(document_id, line, content, ending), numbered from 1, with the ``keep`` columns."""
     numbered = docs.select(
         F.col(id_col).alias("document_id"),
+        *keep,
         F.posexplode(text.lines(F.col(text_col))).alias("pos", "l"),
     )
     return numbered.select(
         "document_id",
+        *keep,
         (F.col("pos") + 1).alias("line"),
         F.col("l.content").alias("content"),
         F.col("l.ending").alias("ending"),

@@ -1171,13 +1171,17 @@ def check_aggregate(spark, sf):
 # --- rebuild -------------------------------------------------------------------------
 
 
-def _rebuilt_blocks(spark, sf):
-    """Markdown blocks with stored translations of every block number not divisible by 4."""
-    blocks = b.markdown_blocks(spark, sf)
-    keys = b.documents(spark, sf).select(
+def _rebuild_targets(spark, sf):
+    return b.documents(spark, sf).select(
         F.col("id").alias("document_id"), F.explode(F.array(F.lit("de"), F.lit("uk"))).alias(
             "target"),
     ).withColumn("translation_key", F.concat_ws("-", F.lit("key"), "target"))
+
+
+def _rebuilt_blocks(spark, sf):
+    """Markdown blocks with stored translations of every block number not divisible by 4."""
+    blocks = b.markdown_blocks(spark, sf)
+    keys = _rebuild_targets(spark, sf)
     stored = blocks.where(F.col("seq") % 4 > 0).groupBy("source_hash").agg(
         F.min("source_text").alias("t")
     ).select(
@@ -1204,15 +1208,14 @@ def safe_translation(spark, sf):
 @query
 def rebuild_lines(spark, sf):
     docs = b.markdown_documents(spark, sf)
-    return rebuild.rebuild_lines(docs, _rebuilt_blocks(spark, sf)).select(
-        "document_id", "target", "line", "content"
-    )
+    lines = rebuild.rebuild_lines(docs, _rebuilt_blocks(spark, sf), _rebuild_targets(spark, sf))
+    return lines.select("document_id", "target", "line", "content")
 
 
 @query
 def rebuild_documents(spark, sf):
     docs = b.markdown_documents(spark, sf)
-    lines = rebuild.rebuild_lines(docs, _rebuilt_blocks(spark, sf))
+    lines = rebuild.rebuild_lines(docs, _rebuilt_blocks(spark, sf), _rebuild_targets(spark, sf))
     return rebuild.rebuild_documents(lines).select(
         "document_id", "target", F.length("text").alias("chars"),
         identity.sha256(F.col("text")).alias("text_hash"),
