@@ -7,6 +7,7 @@ scan, generate, project.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
@@ -229,25 +230,23 @@ def _units(document: Column) -> Column:
     )
 
 
-def segment_markdown(
-    docs: DataFrame,
-    id_col: str = "id",
-    text_col: str = "text",
-    fences: bool = True,
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """Blocks of Markdown documents with ids, hashes and rebuild metadata.
+@functools.lru_cache(maxsize=32)
+def _segment_columns(
+    application: str, id_col: str, text_col: str, fences: bool, keep: tuple[str, ...]
+) -> tuple[list, list, list]:
+    """The three projections of ``segment_markdown``.
 
-    ``keep`` names document columns to carry to every block, which saves a join later.
+    Column expressions belong to no frame, so they are built once per application: building
+    them costs about a second of calls into the JVM.
     """
     document = mask_code_fences(F.col(text_col)) if fences else F.col(text_col)
-    units = docs.select(
+    units = [
         F.col(id_col).alias("document_id"), *keep,
         F.posexplode(_units(document)).alias("seq", "u"),
-    )
+    ]
     raw, is_cell = F.col("u.raw"), F.col("u.column").isNotNull()
     blank_cell = is_cell & text.is_blank(raw)
-    shaped = units.select(
+    shaped = [
         "document_id",
         *keep,
         "seq",
@@ -267,9 +266,9 @@ def segment_markdown(
         F.col("u.column").alias("column"),
         F.col("u.columns").alias("columns"),
         F.coalesce(F.col("u.tail"), F.lit("")).alias("tail"),
-    )
+    ]
     kind, body = F.col("kind"), F.col("body")
-    return shaped.select(
+    blocks = [
         "document_id",
         *keep,
         "seq",
@@ -286,7 +285,24 @@ def segment_markdown(
         F.concat(
             F.when(text.is_blank(body), "").otherwise(text.trailing_space(body)), F.col("tail")
         ).alias("suffix"),
-    )
+    ]
+    return units, shaped, blocks
+
+
+def segment_markdown(
+    docs: DataFrame,
+    id_col: str = "id",
+    text_col: str = "text",
+    fences: bool = True,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Blocks of Markdown documents with ids, hashes and rebuild metadata.
+
+    ``keep`` names document columns to carry to every block, which saves a join later.
+    """
+    application = docs.sparkSession.sparkContext.applicationId
+    units, shaped, blocks = _segment_columns(application, id_col, text_col, fences, tuple(keep))
+    return docs.select(*units).select(*shaped).select(*blocks)
 
 
 def assign_block_ids(units: DataFrame) -> DataFrame:
