@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check_queries import TABLES, canonical
+from textloom.operators import segmentation
+from textloom.plans import bindings
 
 QUICK = ("translation_backlog_cost", "segment_markdown", "hit_miss_counts", "price",
          "p95_nearest_rank", "job_event_feed", "extract_terms", "chrf", "rebuild_documents")
@@ -36,6 +38,14 @@ def test_query_matches_its_statement(spark, sf, con, name):
         done.fetchall(), columns)
 
 
-def test_segmentation_needs_no_shuffle(spark, sf):
-    plan = contract.queries()["segment_markdown"](spark, sf)._jdf.queryExecution().toString()
-    assert "Exchange" not in plan
+def test_segmentation_itself_needs_no_shuffle(spark, sf):
+    """The operator on a table as read, without the spreading of single-file test tables."""
+    docs = bindings.table(spark, sf, "documents").selectExpr("cast(doc_id as string) id", "text")
+    plan = segmentation.segment_markdown(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "Exchange" not in plan
+
+
+def test_only_tables_with_few_splits_are_spread(spark):
+    wide = spark.range(100, numPartitions=spark.sparkContext.defaultParallelism)
+    assert bindings.spread(wide, "id") is wide
+    assert bindings.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() > 1
