@@ -17,6 +17,7 @@ from textloom.llm import (
     language_id,
     license_rules,
     simhash_golay,
+    suffix_dedup,
     url_templates,
 )
 from textloom.llm.oracle import exact_dedup_sql, license_sql, url_template_sql
@@ -46,6 +47,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_rules.find_licences(_table(spark, folder, "documents"))
 
@@ -69,7 +74,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op2_byte_bpe, op3_url_filters, op4_exact_dedup,
+        op1_language_id, op2_byte_bpe, op3_url_filters, op4_exact_dedup, op5_suffix_dedup,
         op6_license_scans, op7_substring_dedup, op8_decontamination, op9_simhash_near_dedup,
         op10_html_extraction,
     )
