@@ -198,7 +198,9 @@ def test_recent_jobs(spark):
     jobs = spark.createDataFrame([("old", at(1)), ("new-b", at(9)), ("new-a", at(9)),
                                   ("middle", at(5))], "id string, created_at timestamp")
     assert [r.id for r in state.recent_jobs(jobs, 3).collect()] == ["new-a", "new-b", "middle"]
-    assert state.recent_jobs(jobs, 0).count() == 1
+    assert state.recent_jobs(jobs, 500).count() == jobs.count()
+    with pytest.raises(ValueError):
+        state.recent_jobs(jobs, 0)
     with pytest.raises(ValueError):
         state.recent_jobs(jobs, True)
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import text
 from textloom.operators import profiling, segmentation
 from textloom.sources import files, tables
 
@@ -19,12 +20,14 @@ def blocks(spark, documents):
 def test_outline_keeps_both_edges(spark):
     frame = blocks(spark, {"d": [(3 * i, f"block {i}") for i in range(500)],
                            "s": [(i, "x") for i in range(60)]})
-    rows = {r.document_id: r for r in profiling.document_outline(frame).collect()}
+    rows = {r.document_id: r for r in profiling.document_outline(frame, edge=30).collect()}
     long, short = rows["d"], rows["s"]
     assert (long.block_count, long.first_seq, long.last_seq) == (500, 0, 1497)
     kept = [h.seq for h in long.heads]
     assert kept == [3 * i for i in [*range(30), *range(470, 500)]]
     assert len(short.heads) == 60
+    whole = {r.document_id: r for r in profiling.document_outline(frame).collect()}
+    assert [h.head for h in whole["d"].heads] == [f"block {i}" for i in range(500)]
 
 
 def test_script_histogram(spark):
@@ -32,13 +35,15 @@ def test_script_histogram(spark):
                            "cut": [(0, "x" * 500)]})
     rows = {r.document_id: r for r in profiling.script_histogram(frame).collect()}
     assert (rows["d"].latin, rows["d"].cyrillic, rows["d"].arabic, rows["d"].cjk) == (6, 6, 5, 2)
-    assert rows["cut"].latin == 400
+    assert rows["cut"].latin == 500
+    cut = profiling.script_histogram(frame, 400).where("document_id = 'cut'").first()
+    assert cut.latin == 400
 
 
 def test_read_range(spark):
     frame = blocks(spark, {"d": [(10 + i, str(i)) for i in range(30)]})
     assert sorted(r.seq for r in profiling.read_range(frame, 11, 2).collect()) == [11, 12]
-    assert profiling.read_range(frame, 10, 99).count() == 8
+    assert profiling.read_range(frame, 10, 99).count() == 30
     with pytest.raises(ValueError):
         profiling.read_range(frame, 10, 0)
 
@@ -46,7 +51,8 @@ def test_read_range(spark):
 def test_search(spark):
     late = "x" * 3000 + "KeyWord" + "y" * 3000
     frame = blocks(spark, {"d": [(i, late) for i in range(30)], "e": [(0, "Straße")]})
-    rows = profiling.search_blocks(frame, " keyword ").orderBy("seq").collect()
+    assert profiling.search_blocks(frame, ["keyword", "yyy", "no"]).count() == 60
+    rows = profiling.search_blocks(frame, " keyword ", 8, 1000).orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(8))
     assert all(len(r.snippet) == 1000 and "KeyWord" in r.snippet for r in rows)
     assert profiling.search_blocks(frame, "STRASSE").count() == 1
@@ -58,7 +64,8 @@ def test_search(spark):
 def test_terms(spark):
     frame = blocks(spark, {"d": [(0, "Beta Alpha Beta"), (1, "Gamma delta x2 Y3 Ünder_score Élan")],
                            "many": [(0, " ".join(f"T{'a' * i}" for i in range(40)))]})
-    rows = profiling.extract_terms(frame).orderBy("document_id", "rank").collect()
+    assert profiling.extract_terms(frame).where("document_id = 'many'").count() == 40
+    rows = profiling.extract_terms(frame, 20).orderBy("document_id", "rank").collect()
     assert [r.term for r in rows if r.document_id == "d"] == ["Beta", "Alpha", "Gamma", "Élan"]
     assert len([r for r in rows if r.document_id == "many"]) == 20
 
@@ -93,12 +100,18 @@ def test_bounded_payload(spark):
     rows = [(i, 'q"' + "z" * random.Random(i).randint(0, 900)) for i in range(60)]
     frame = blocks(spark, {"d": rows, "big": [(0, "x" * 20_000), (1, "y")]})
     entry = F.struct("seq", "source_text")
-    got = {r.document_id: r.payload for r in profiling.bounded_payload(frame, entry).collect()}
+    got = {}
+    for r in profiling.bounded_payload(frame, entry).orderBy("document_id", "payload_no").collect():
+        assert r.payload_no == len(got.setdefault(r.document_id, []))
+        got[r.document_id].append(json.loads(r.payload))
+        assert len(r.payload) <= 16_000 or r.entries == 1
+        assert r.entries == len(got[r.document_id][-1])
     items = [{"seq": s, "source_text": t} for s, t in rows]
-    while len(json.dumps(items, separators=(",", ":"))) > 16_000:
-        items.pop()
-    assert got["d"] == json.dumps(items, separators=(",", ":"))
-    assert got["big"] == "[]"
+    assert sum(got["d"], []) == items and len(got["d"]) > 1
+    # A list ends only where the next entry would not fit.
+    for first, second in zip(got["d"], got["d"][1:], strict=False):
+        assert len(json.dumps([*first, second[0]], separators=(",", ":"))) > 16_000
+    assert [len(x) for x in got["big"]] == [1, 1]
 
 
 def test_files(spark, tmp_path):
@@ -168,3 +181,19 @@ def test_outputs_are_replaced_per_job(spark, tmp_path):
     rows = spark.read.schema(schema + ", part int").parquet(path).collect()
     got = {r.job_id: r.content for r in rows}
     assert len(rows) == 201 and got["3"] == "v2" and got["4"] == "v1" and got["new"] == "v1"
+
+
+def test_case_folding_is_that_of_unicode(spark):
+    changing = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000
+                and len({chr(c), chr(c).lower(), chr(c).upper(), chr(c).casefold()}) > 1]
+    words = ["ΟΔΟΣ", "ΟΔΟΣ ΟΔΟΣΗ", "ﬁle", "Straße", "Iı İi", "ẞ", ""]
+    frame = spark.createDataFrame([(c,) for c in changing + words], "c string")
+    got = frame.select("c", text.casefold(F.col("c")).alias("folded")).collect()
+    assert [r for r in got if r.folded != r.c.casefold()] == []
+
+
+def test_names_keep_their_suffix(spark):
+    names = {"a" * 250 + "...b": ".b", "x" * 250 + ".md": ".md", "y" * 250: "", "." * 3 + "z" * 250: ""}
+    frame = spark.createDataFrame([(n,) for n in names], "n string")
+    for r in frame.select("n", text.sanitize_filename(F.col("n")).alias("safe")).collect():
+        assert len(r.safe) <= 200 and r.safe.endswith(names[r.n])

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 import uuid
 
 import pytest
@@ -51,6 +50,7 @@ def test_wide_table(spark):
     rows = [["H1", "H2", "H3"], ["---"] * 3, ["a", "b", "c"], ["row 2", "", ""]]
     rows += [[f"row {n}", "", ""] for n in range(3, 12)]
     _, found = blocks_of(spark, "\n".join("|" + "|".join(r) + "|" for r in rows) + "\n")
+    # 12 rows of 3 cells, without the separator; 20 of them are empty.
     assert len(found) == 36
     assert sum(not r.source_text for r in found) == 20
 
@@ -76,57 +76,67 @@ def test_line_breaks_follow_splitlines(spark):
     assert got == {i: s.splitlines(keepends=True) for i, s in enumerate(samples)}
 
 
-def model(document):
-    """Plain single-pass reading of the block rules."""
-    out, fence = [], None
-    for number, raw in enumerate(document.splitlines(keepends=True), 1):
-        line = re.sub(r"(\r\n|\n|\r)\Z", "", raw)
-        if fence:
-            m = re.match(r" {0,3}(`+|~+)[ \t]*\Z", line)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
-                fence = None
-            continue
-        m = re.match(r"(?s) {0,3}(`{3,}|~{3,})(.*)\Z", line)
-        if m and (m[1][0] == "~" or "`" not in m[2]):
-            fence = m[1]
-            continue
-        if not line.strip():
-            continue
-        core = line.strip(" \t")
-        cells = re.findall(r"((?:\\.|\\\Z|[^\\|])*)(?:\||\Z)", core, re.S)
-        if core.startswith("|") and len(cells) > 2 and re.search(r"(?<!\\)(\\\\)*\|\Z", core):
-            inner = cells[1:-1]
-            if not all(re.fullmatch(":?-{3,}:?", c.strip()) for c in inner):
-                out += [(number, "table_cell", c.strip()) for c in inner]
-            continue
-        for kind, pattern in (("heading", r" {0,3}#{1,6}[ \t]+"),
-                              ("list_item", r" {0,3}(?:[-*+]|\d+[.)])[ \t]+"),
-                              ("quote", r" {0,3}>[ \t]?")):
-            m = re.match(pattern, line)
-            if m:
-                break
-        body = line[m.end():] if m else line
-        if body.strip():
-            out.append((number, kind if m else "paragraph", body.strip()))
-    return out
-
-
-def test_random_documents_match_the_model(spark):
+@pytest.mark.parametrize(("document", "fenced"), [
+    ("a\n```\nb\n```\nc", {2, 3, 4}), ("```\n~~~\n```\nx", {1, 2, 3}),
+    ("~~~ `x`\ny\n~~~~\nz", {1, 2, 3}), ("``` `x`\ny", set()),
+    ("   ```\nx\n    ```\ny\n ``` \t\nz", {1, 2, 3, 4, 5}), ("    ```\nx", set()),
+    ("`````\n````\n``````\n```\nend\n", {1, 2, 3, 4, 5}), ("``\nx\n``", set()),
+    ("```\nx\n``` no\ny\n", {1, 2, 3, 4}), ("```\r\nx\x0cy\u2028z\r\n```\rend", {1, 2, 3, 4, 5}),
+    ("~~~\n" + "x\n" * 3000 + "~~~\ny", set(range(1, 3003))),
+    ("".join(f"```{i}\nx\n```\ny\n" for i in range(300)),
+     {4 * i + j for i in range(300) for j in (1, 2, 3)}),
+])
+def test_fenced_lines_are_emptied_in_place(spark, document, fenced):
+    frame = spark.createDataFrame([(document,)], "text string")
+    masked = frame.select(segmentation.mask_code_fences(F.col("text"))).first()[0]
+    before, after = (text.splitlines(keepends=True) for text in (document, masked))
+    assert len(before) == len(after)
+    for number, (old, new) in enumerate(zip(before, after, strict=True), 1):
+        stripped = old.splitlines()[0]
+        assert new == (old[len(stripped):] if number in fenced else old)
+
+
+PIECES = ["# ", "- ", "12. ", "> ", "|", "\\", "```", "~~~~", "---", ":--:", " ", "\t", "a", "Wort",
+          "\n", "\n", "\r\n", "\x0c", "\u00a0", "`", "#", "    "]
+
+
+def test_random_documents_keep_their_properties(spark):
     rng = random.Random(5)
-    pieces = ["# ", "- ", "12. ", "> ", "|", "\\", "```", "~~~~", "---", ":--:", " ", "\t", "a",
-              "Wort", "\n", "\n", "\r\n", "\x0c", "\u00a0", "`", "#", "    "]
-    documents = ["".join(rng.choices(pieces, k=rng.randint(0, 60))) for _ in range(400)]
-    _, rows = blocks_of(spark, *documents)
-    got = {}
+    documents = ["".join(rng.choices(PIECES, k=rng.randint(0, 60))) for _ in range(400)]
+    docs, rows = blocks_of(spark, *documents)
+    lines = {r.document_id: {} for r in rows}
+    for r in segmentation.explode_lines(docs).collect():
+        lines.setdefault(r.document_id, {})[r.line] = r.content
+    numbers = {}
     for r in rows:
-        got.setdefault(int(r.document_id), []).append((r.line, r.kind, r.source_text))
-    for i, document in enumerate(documents):
-        assert sorted(got.get(i, [])) == sorted(model(document)), repr(document)
+        numbers.setdefault(r.document_id, []).append(r.seq)
+        assert r.source_text == r.source_text.strip()
+        assert r.source_hash == hashlib.sha256(r.source_text.encode()).hexdigest()
+        assert r.id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.document_id}:{r.seq}"))
+        if r.kind != "table_cell":
+            # A prose block is its whole line; after markup, white space may lie before the text.
+            line = lines[r.document_id][r.line]
+            assert r.source_text and line.startswith(r.prefix) and line.endswith(r.suffix)
+            assert line[len(r.prefix):].strip() == r.source_text
+            if r.kind == "paragraph":
+                assert r.prefix + r.source_text + r.suffix == line
+        assert (r.level is not None) == (r.kind == "heading")
+        assert (r.marker is not None) == (r.kind == "list_item")
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
+    # The cells of a row, put side by side, are the row.
+    cells = {}
     for r in rows:
-        raw = re.sub(r"(\r\n|\n|\r)\Z", "", documents[int(r.document_id)].splitlines(True)[
-            r.line - 1])
-        if r.kind == "paragraph":
-            assert r.prefix + r.source_text + r.suffix == raw
+        if r.kind == "table_cell":
+            cells.setdefault((r.document_id, r.line), []).append(r)
+    assert cells
+    for (document, line), row in cells.items():
+        row.sort(key=lambda r: r.column)
+        assert [r.column for r in row] == list(range(row[0].columns))
+        assert "".join(r.prefix + r.source_text + r.suffix for r in row) == lines[document][line]
+    # Prose lines and cells appear in page order.
+    for document in numbers:
+        own = sorted((r for r in rows if r.document_id == document), key=lambda r: r.seq)
+        assert [(r.line, r.column or 0) for r in own] == sorted((r.line, r.column or 0) for r in own)
 
 
 def test_numbering_of_rows_equals_numbering_in_documents(spark):

@@ -105,8 +105,28 @@ def lines(text: Column) -> Column:
     return F.when(_only_newlines(text), plain).otherwise(rare)
 
 
+# Cherokee is the one script that folds to its capitals: two ranges with constant distance.
+_CHEROKEE_SMALL = "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
+_CHEROKEE_LARGE = "".join(map(chr, [*range(0x13A0, 0x13F0), *range(0x13F0, 0x13F6)]))
+
+
+def _folded(col: Column) -> Column:
+    # Capitals first, as several small forms share one. The capital sharp s has no other capital
+    # form; naming it also keeps the two case changes apart, which the optimizer would merge.
+    capitals = F.replace(F.upper(col), F.lit("\u1e9e"), F.lit("SS"))
+    small = F.replace(F.lower(capitals), F.lit("\u03c2"), F.lit("\u03c3"))
+    return F.when(
+        F.regexp_like(small, F.lit(r"[\x{13f8}-\x{13fd}\x{ab70}-\x{abbf}]")),
+        F.translate(small, _CHEROKEE_SMALL, _CHEROKEE_LARGE),
+    ).otherwise(small)
+
+
 def casefold(col: Column) -> Column:
-    return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+    """Full case folding of Unicode. The dotless i folds to itself and must not become an i."""
+    dotless = "\u0131"
+    parts = F.transform(F.split(col, dotless, -1), _folded)
+    return F.when(F.contains(col, F.lit(dotless)), F.array_join(parts, dotless)).otherwise(
+        _folded(col))
 
 
 def count_class(col: Column, char_class: str) -> Column:
@@ -125,23 +145,28 @@ def code_point_label(char: Column) -> Column:
     return F.concat(F.lit("U+"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")))
 
 
+# A suffix needs a stem before its dots and text after the last one.
+SUFFIX = r"[^./\\]\.*(\.[^./\\]+)\z"
+# Bytes a name may have, characters of a cut name and of its suffix.
+NAME_BYTES, CUT_NAME, CUT_SUFFIX = 200, 180, 20
+
+
 def sanitize_filename(col: Column) -> Column:
     """Safe base name over both slash kinds; null when nothing usable remains."""
     base = F.element_at(F.split(F.replace(col, F.lit("\\"), F.lit("/")), "/", -1), -1)
     safe = F.btrim(F.regexp_replace(strip(base), r"[^A-Za-z0-9._ -]", "_"), F.lit(" ."))
-    # A suffix needs a stem before its dot and text after it.
-    suffix = F.regexp_extract(safe, r"[^.]\.?(\.[^.]+)\z", 1)
+    suffix = F.regexp_extract(safe, SUFFIX, 1)
     stem = F.substring(safe, F.lit(1), F.length(safe) - F.length(suffix))
-    short = F.substring(suffix, 1, 20)
+    short = F.substring(suffix, 1, CUT_SUFFIX)
     bounded = F.concat(
-        F.substring(stem, F.lit(1), F.greatest(F.lit(1), F.lit(180) - F.length(short))), short
+        F.substring(stem, F.lit(1), F.greatest(F.lit(1), F.lit(CUT_NAME) - F.length(short))), short
     )
-    return F.when(safe == "", None).when(F.octet_length(safe) > 200, bounded).otherwise(safe)
+    return F.when(safe == "", None).when(F.octet_length(safe) > NAME_BYTES, bounded).otherwise(safe)
 
 
 def file_suffix(name: Column) -> Column:
     """Lower-case suffix without its dot; empty when there is none."""
-    return F.lower(F.regexp_extract(name, r"[^./\\]\.*\.([^./\\]+)\z", 1))
+    return F.lower(F.substring(F.regexp_extract(name, SUFFIX, 1), F.lit(2), F.length(name)))
 
 
 def normalize_language(col: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -54,7 +55,11 @@ RESULT = (
 )
 
 
-def retry_delay(attempt: int, base: float = 0.5, longest: float = 8.0) -> float:
+# The first wait and the longest one, in seconds.
+BASE_DELAY, LONGEST_DELAY = 0.5, 8.0
+
+
+def retry_delay(attempt: int, base: float = BASE_DELAY, longest: float = LONGEST_DELAY) -> float:
     """Seconds to wait after the given failed attempt (from 0)."""
     return min(base * 2**attempt + random.uniform(0.0, base), longest)
 
@@ -65,14 +70,17 @@ def infer(
     max_attempts: int = 3,
     parallelism: int | None = None,
     wait: Callable[[float], None] = time.sleep,
+    concurrency: int = 8,
 ) -> DataFrame:
     """Run every unit through the provider, retrying what the catalogue calls retryable.
 
-    Give it distinct units. The result must be written once and read back before it is used
+    Give it distinct units. Each task has ``concurrency`` calls under way. The result must be written once and read back before it is used
     twice: evaluating the frame again would call the provider again.
     """
     if max_attempts < 1:
-        raise ValueError("max_attempts must be at least 1")
+        raise ValueError(f"at least one call is needed, not {max_attempts}")
+    if concurrency < 1:
+        raise ValueError(f"at least one call runs at a time, not {concurrency}")
     retryable = {code: again for code, _, again in schemas.ERRORS}
 
     def call(text: str, language: str, model: str):
@@ -83,7 +91,9 @@ def infer(
             try:
                 result, used_in, used_out = provider.translate(text, language, model)
                 if not isinstance(result, str) or used_in < 0 or used_out < 0:
-                    raise ProviderFailure("provider_invalid_response")
+                    # What was billed counts, whatever the answer is worth.
+                    raise ProviderFailure(
+                        "provider_invalid_response", max(0, used_in), max(0, used_out))
             except ProviderFailure as error:
                 failure, used_in, used_out = error.code, error.tokens_in, error.tokens_out
             except Exception:
@@ -107,18 +117,21 @@ def infer(
             wait(retry_delay(attempt))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = [
-                call(*row)
-                for row in zip(
-                    batch["source_text"], batch["target_language"], batch["model"], strict=True
-                )
-            ]
-            yield batch[["translation_key", "source_hash", "target_language", "model"]].assign(
-                translated_text=[a[0] for a in answers],
-                error_code=[a[1] for a in answers],
-                attempts=[a[2] for a in answers],
-            )
+        # Calls wait for an answer most of their time, so some run at once; answers are passed on
+        # a few calls at a time, not when a whole batch is done.
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for first in range(0, len(batch), 4 * concurrency):
+                    part = batch.iloc[first:first + 4 * concurrency]
+                    answers = list(pool.map(
+                        call, part["source_text"], part["target_language"], part["model"]))
+                    yield part[
+                        ["translation_key", "source_hash", "target_language", "model"]
+                    ].assign(
+                        translated_text=[a[0] for a in answers],
+                        error_code=[a[1] for a in answers],
+                        attempts=[a[2] for a in answers],
+                    )
 
     picked = units.select(
         "translation_key", "source_hash", "source_text", "target_language", "model"

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom import schemas
 from textloom.functions import text
 from textloom.functions.ordered import span, top_per_key, total_before
 
-# Sizes of samples, snippets and payloads.
+# The size of the usual sample and the longest keyword.
 SAMPLE_CHARS = 20_000
-HISTOGRAM_CHARS = 400
-MAJORITY_BLOCKS = 20
-MAJORITY_CHARS = 1000
-OUTLINE_EDGE = 30
-OUTLINE_HEAD = 80
-SNIPPET_CHARS = 1000
-LISTED_BLOCKS = 8
-PAYLOAD_CHARS = 16_000
-MAX_TERMS = 20
 MAX_KEYWORD = 200
 # Letters of Ukrainian that Russian lacks.
 UKRAINIAN = "іїєґІЇЄҐ"
@@ -57,21 +50,32 @@ def source_warnings(blocks: DataFrame, supported: str | None = None) -> DataFram
     return chars.groupBy("document_id").agg(F.array_join(points, ", ").alias("code_points"))
 
 
-def script_histogram(blocks: DataFrame) -> DataFrame:
-    """Characters per script over the first 400 characters of each block."""
-    head = F.substring("source_text", 1, HISTOGRAM_CHARS)
-    return blocks.groupBy("document_id").agg(*[
-        F.sum(text.count_class(head, text.SCRIPT_CLASSES[s])).alias(s) for s in schemas.SCRIPTS
-    ])
+def _first(column: str, chars: int | None) -> Column:
+    """The first ``chars`` characters of a column, or all of it."""
+    return F.col(column) if chars is None else F.substring(column, 1, chars)
 
 
-def detect_language_majority(blocks: DataFrame) -> DataFrame:
-    """uk or ru when Cyrillic outnumbers Latin in the first blocks, otherwise en."""
-    sample = top_per_key(
-        blocks.select("document_id", "seq",
-                      F.substring("source_text", 1, MAJORITY_CHARS).alias("t")),
-        DOC, [F.col("seq")], MAJORITY_BLOCKS,
-    )
+def _script_counts(value: Column) -> list[Column]:
+    return [
+        F.sum(text.count_class(value, text.SCRIPT_CLASSES[s])).alias(s) for s in schemas.SCRIPTS
+    ]
+
+
+def script_histogram(blocks: DataFrame, chars: int | None = None) -> DataFrame:
+    """Characters per script; ``chars`` looks at the beginning of each block only."""
+    return blocks.groupBy("document_id").agg(*_script_counts(_first("source_text", chars)))
+
+
+def detect_language_majority(
+    blocks: DataFrame, first_blocks: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """uk or ru when Cyrillic outnumbers Latin, otherwise en.
+
+    Counts whole documents unless told to look at the first blocks or characters only.
+    """
+    sample = blocks.select("document_id", "seq", _first("source_text", chars).alias("t"))
+    if first_blocks is not None:
+        sample = top_per_key(sample, DOC, [F.col("seq")], first_blocks)
     sums = sample.groupBy("document_id").agg(
         F.sum(text.count_class(F.col("t"), text.SCRIPT_CLASSES["cyrillic"])).alias("cyrillic"),
         F.sum(text.count_class(F.col("t"), text.SCRIPT_CLASSES["latin"])).alias("latin"),
@@ -97,9 +101,15 @@ def leading_sample(blocks: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
     )
 
 
-def detect_language_any(blocks: DataFrame) -> DataFrame:
-    """uk or ru when the leading sample holds any Cyrillic letter, otherwise en."""
-    sums = leading_sample(blocks).groupBy("document_id").agg(
+def _sampled(blocks: DataFrame, chars: int | None) -> DataFrame:
+    if chars is not None:
+        return leading_sample(blocks, chars)
+    return blocks.select("document_id", "seq", F.col("source_text").alias("sample"))
+
+
+def detect_language_any(blocks: DataFrame, chars: int | None = None) -> DataFrame:
+    """uk or ru when the document (or its leading sample) holds any Cyrillic letter, else en."""
+    sums = _sampled(blocks, chars).groupBy("document_id").agg(
         F.bool_or(F.col("sample").rlike(f"[{text.SCRIPT_CLASSES['cyrillic']}]")).alias("any"),
         F.bool_or(F.col("sample").rlike(f"[{UKRAINIAN}]")).alias("marked"),
     )
@@ -109,102 +119,122 @@ def detect_language_any(blocks: DataFrame) -> DataFrame:
     )
 
 
-def extract_terms(blocks: DataFrame, k: int = MAX_TERMS) -> DataFrame:
-    """First k distinct capitalised words of the leading sample: (document_id, rank, term)."""
-    words = leading_sample(blocks).select(
+def extract_terms(
+    blocks: DataFrame, k: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """Distinct capitalised words by first appearance: (document_id, rank, term).
+
+    All of the whole document, unless limited to ``k`` terms or to a leading sample.
+    """
+    words = _sampled(blocks, chars).select(
         "document_id", "seq",
         F.posexplode(F.regexp_extract_all("sample", F.lit(WORD), F.lit(0))).alias("at", "term"),
     ).where(F.col("term").rlike(CAPITALISED))
     first = words.groupBy("document_id", "term").agg(
         F.min(F.struct("seq", "at")).alias("place")
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document_id").orderBy("place")
-    return (
-        first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("document_id", "rank", "term")
-    )
+    ranked = first.withColumn("rank", F.row_number().over(order))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
+    return ranked.select("document_id", "rank", "term")
 
 
-def document_outline(blocks: DataFrame) -> DataFrame:
-    """Block count, sequence ends, script counts and heads of the outer blocks.
+def document_outline(
+    blocks: DataFrame, edge: int | None = None, head_chars: int | None = None
+) -> DataFrame:
+    """Block count, sequence ends, script counts and block heads of every document, in one pass.
 
-    The first and last 30 blocks together are all blocks of a document of up to 60.
+    ``edge`` keeps the heads of the first and last blocks only, ``head_chars`` their beginning.
     """
-    heads = blocks.select(
-        "document_id", "seq", F.substring("source_text", 1, OUTLINE_HEAD).alias("head")
-    )
-    outer = top_per_key(heads, DOC, [F.asc("seq")], OUTLINE_EDGE).union(
-        top_per_key(heads, DOC, [F.desc("seq")], OUTLINE_EDGE)
-    ).distinct()
-    listed = outer.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "head"))).alias("heads")
-    )
-    sizes = blocks.groupBy("document_id").agg(
+    head = F.struct("seq", _first("source_text", head_chars).alias("head"))
+    if edge is not None:
+        last = Window.partitionBy("document_id")
+        place = F.row_number().over(last.orderBy(F.asc("seq")))
+        back = F.row_number().over(last.orderBy(F.desc("seq")))
+        blocks = blocks.withColumn("_outer", (place <= edge) | (back <= edge))
+        head = F.when(F.col("_outer"), head)
+    return blocks.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("block_count"), F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
+        F.max("seq").alias("last_seq"), *_script_counts(F.col("source_text")),
+        F.array_sort(F.collect_list(head)).alias("heads"),
     )
-    return sizes.join(script_histogram(blocks), "document_id").join(listed, "document_id")
 
 
-def read_range(blocks: DataFrame, start: int, count: int) -> DataFrame:
-    """Snippets of at most eight consecutive blocks of every document."""
-    if count <= 0:
-        raise ValueError("count must be positive")
+def read_range(
+    blocks: DataFrame, start: int, count: int, chars: int | None = None
+) -> DataFrame:
+    """Texts of ``count`` consecutive blocks of every document, or their beginnings."""
+    if count < 1:
+        raise ValueError(f"a range holds at least one block, not {count}")
     seq = F.col("seq")
-    return blocks.where((seq >= start) & (seq < start + min(count, LISTED_BLOCKS))).select(
-        "document_id", "seq", F.substring("source_text", 1, SNIPPET_CHARS).alias("snippet")
+    return blocks.where((seq >= start) & (seq < start + count)).select(
+        "document_id", "seq", _first("source_text", chars).alias("snippet")
     )
 
 
 def check_keyword(keyword: str) -> str:
     trimmed = keyword.strip()
-    if not trimmed or len(trimmed) > MAX_KEYWORD:
-        raise ValueError("keyword must contain 1 to 200 non-whitespace characters")
+    if not 1 <= len(trimmed) <= MAX_KEYWORD:
+        raise ValueError(f"a keyword has 1 to {MAX_KEYWORD} characters besides white space")
     return trimmed
 
 
-def search_blocks(blocks: DataFrame, keyword: str, k: int = LISTED_BLOCKS) -> DataFrame:
-    """First k matching blocks of every document with a snippet around the match."""
-    needle = text.casefold(F.lit(check_keyword(keyword)))
-    at = F.instr(text.casefold(F.col("source_text")), needle)
-    found = blocks.select("document_id", "seq", "source_text", at.alias("at")).where(
-        F.col("at") > 0
-    )
-    start = F.greatest(F.lit(1), F.col("at") - SNIPPET_CHARS // 4)
-    hits = found.select(
-        "document_id", "seq",
-        F.substring(F.col("source_text"), start, F.lit(SNIPPET_CHARS)).alias("snippet"),
+def search_blocks(
+    blocks: DataFrame, keywords: str | Sequence[str], k: int | None = None,
+    chars: int | None = None,
+) -> DataFrame:
+    """Blocks that hold a keyword, letter case aside: (document_id, seq, keyword, snippet).
+
+    A block has one row per keyword found in it. ``chars`` cuts the snippet around the match,
+    ``k`` keeps the first rows of every document and keyword; without them nothing is left out.
+    """
+    words = [keywords] if isinstance(keywords, str) else list(keywords)
+    words = list(dict.fromkeys(check_keyword(w) for w in words))
+    folded = text.casefold(F.col("source_text"))
+    looked_for = F.array(*[
+        F.struct(F.lit(w).alias("keyword"), F.instr(folded, text.casefold(F.lit(w))).alias("at"))
+        for w in words
+    ])
+    found = blocks.select(
+        "document_id", "seq", "source_text",
+        F.inline(F.filter(looked_for, lambda x: x["at"] > 0)),
     )
-    return top_per_key(hits, DOC, [F.col("seq")], k)
+    snippet = F.col("source_text")
+    if chars is not None:
+        start = F.greatest(F.lit(1), F.col("at") - chars // 4)
+        snippet = F.substring(snippet, start, F.lit(chars))
+    hits = found.select("document_id", "seq", "keyword", snippet.alias("snippet"))
+    return hits if k is None else top_per_key(hits, ["document_id", "keyword"], [F.col("seq")], k)
 
 
-def bounded_payload(rows: DataFrame, entry: Column, limit: int = PAYLOAD_CHARS) -> DataFrame:
-    """One compact JSON list per document, cut after the last row that still fits.
+def bounded_payload(rows: DataFrame, entry: Column, limit: int = 16_000) -> DataFrame:
+    """Compact JSON lists of at most ``limit`` characters: (document_id, payload_no, entries,
+    payload).
 
-    ``rows`` has document_id, seq and the columns of ``entry``. A group gathers at most
-    ``limit`` characters, however long the document is.
+    What does not fit into the first list goes on in further ones; a single entry that is longer
+    than the limit has a list of its own. ``rows`` has document_id, seq (from 0, without gaps) and
+    the columns of ``entry``.
     """
+    from textloom.operators.planning import pack_chunks
+
     encoded = rows.select(
-        "document_id", F.col("seq").cast("bigint").alias("seq"),
+        F.col("document_id").cast("string").alias("document_id"),
+        F.col("seq").cast("bigint").alias("seq"),
         F.to_json(entry, {"ignoreNullFields": "false"}).alias("json"),
     )
-    cost = F.length("json") + 1
-    placed = total_before(
-        encoded, DOC, [F.col("seq")], cost, span(F.col("seq"), _SPAN_ROWS), "start"
-    )
-    # Brackets and separators: n rows take their own lengths, n - 1 commas and 2 brackets.
-    fits = F.col("start") + F.length("json") + 2 <= limit
-    # Rows that do not fit become null, and null is never gathered.
-    lists = placed.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.when(fits, F.struct("seq", "json")))).alias("parts")
+    # n entries take their own lengths, n - 1 commas and 2 brackets. Only lengths are packed.
+    sizes = encoded.select(
+        "document_id", "seq", F.lit("").alias("id"), (F.length("json") + 1).alias("tokens"))
+    places = pack_chunks(sizes, budget=limit - 1).select("document_id", "seq", "chunk_seq")
+    packed = encoded.join(places, ["document_id", "seq"])
+    lists = packed.groupBy("document_id", F.col("chunk_seq").alias("payload_no")).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.array_sort(F.collect_list(F.struct("seq", "json"))).alias("parts"),
     )
     return lists.select(
-        "document_id",
+        "document_id", "payload_no", "entries",
         F.concat(
-            F.lit("["),
-            F.array_join(F.transform("parts", lambda p: p["json"]), ","),
-            F.lit("]"),
+            F.lit("["), F.array_join(F.transform("parts", lambda p: p["json"]), ","), F.lit("]"),
         ).alias("payload"),
     )

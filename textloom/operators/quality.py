@@ -38,17 +38,18 @@ def without_spaces(col: Column) -> Column:
 
 def char_ngrams(df: DataFrame, column: str, max_order: int = 6) -> DataFrame:
     """One row per character n-gram of orders 1 to ``max_order``, spaces removed."""
-    size = F.length("_t")
+    # Characters are cut apart once; a gram joins its own few, so the work is linear in the text.
+    chars = df.withColumn("_c", F.split(without_spaces(F.col(column)), ""))
     order = F.explode(F.sequence(F.lit(1), F.lit(max_order))).alias("order")
-    spread = df.withColumn("_t", without_spaces(F.col(column))).select("*", order)
     grams = F.transform(
-        F.sequence(F.lit(1), size - F.col("order") + 1),
-        lambda i: F.substring(F.col("_t"), i, F.col("order")),
+        F.sequence(F.lit(1), F.size("_c") - F.col("order") + 1),
+        lambda i: F.array_join(F.slice("_c", i, F.col("order")), ""),
     )
     return (
-        spread.where(size >= F.col("order"))
+        chars.where(F.size("_c") > 0).select("*", order)
+        .where((F.size("_c") >= F.col("order")) & (F.element_at("_c", 1) != ""))
         .select("*", F.explode(grams).alias("gram"))
-        .drop("_t")
+        .drop("_c")
     )
 
 
@@ -104,7 +105,7 @@ def chrf(pairs: DataFrame, beta: float = 2, max_order: int = 6) -> DataFrame:
     not count.
     """
     if beta <= 0 or max_order <= 0:
-        raise ValueError("beta and max_order must be positive")
+        raise ValueError(f"beta {beta} and order {max_order} must be above zero")
     weight = float(beta) ** 2
 
     @F.pandas_udf(T.DoubleType())

@@ -7,14 +7,10 @@ scan, generate, project.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions import identity, text
 
@@ -31,44 +27,82 @@ UNESCAPED_END = r"(?<!\\)(?:\\\\)*\|\z"
 SEPARATOR_CELL = r"^:?-{3,}:?\z"
 FENCE_HINT = r"(?:^|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]) {0,3}(?:```|~~~)"
 
-_FENCE_START = re.compile(r" {0,3}(`{3,}|~{3,})(.*)\Z", re.DOTALL)
-_FENCE_STOP = re.compile(r" {0,3}(`+|~+)[ \t]*\Z")
-_ENDING = re.compile(r"(?:\r\n|\n|\r)\Z")
-_SEPARATOR = re.compile("(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])?\\Z")
+FENCE_RUN = r"^ {0,3}(`{3,}+|~{3,}+)"
+FENCE_CLOSER = r"^ {0,3}(?:`++|~++)[ \t]*+\z"
+RARE_BREAK = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]\z"
 
+_FENCE = "struct<open:string,at:int,done:int,spans:array<struct<gap:int,size:int>>>"
 
-def _blank_fenced(document: str) -> str:
-    """Empty every line that belongs to a code fence; line breaks stay where they are."""
-    kept: list[str] = []
-    char, length = "", 0
-    for raw in document.splitlines(keepends=True):
-        content = _ENDING.sub("", raw)
-        fenced = bool(char)
-        if fenced:
-            stop = _FENCE_STOP.match(content)
-            if stop and stop[1][0] == char and len(stop[1]) >= length:
-                char = ""
-        else:
-            start = _FENCE_START.match(content)
-            if start and not (start[1][0] == "`" and "`" in start[2]):
-                char, length, fenced = start[1][0], len(start[1]), True
-        kept.append(_SEPARATOR.search(raw)[0] if fenced else raw)
-    return "".join(kept)
 
+def _fence_marks(lines: Column) -> Column:
+    """The few lines that begin with a fence run: (number, run, may open, may close)."""
+    def mark(line: Column, i: Column) -> Column:
+        content = line["content"]
+        run = F.regexp_extract(content, FENCE_RUN, 1)
+        info = F.substring(F.ltrim(content, F.lit(" ")), F.length(run) + 1, F.length(content))
+        return F.struct(
+            i.cast("int").alias("at"), run.alias("run"),
+            (run.startswith("~") | ~F.contains(info, F.lit("`"))).alias("opens"),
+            F.regexp_like(content, F.lit(FENCE_CLOSER)).alias("closes"),
+        )
+
+    return F.filter(F.transform(lines, mark), lambda m: m["run"] != "")
+
+
+def _fence_spans(lines: Column) -> Column:
+    """Code fences of a document as (lines before it since the last fence, lines in it)."""
+    def step(state: Column, mark: Column) -> Column:
+        closed = state["open"] == ""
+        opens = closed & mark["opens"]
+        # The run of a closer is at least as long, and of the same sign.
+        closes = ~closed & mark["closes"] & mark["run"].startswith(state["open"])
+        span = F.struct(
+            (state["at"] - state["done"]).alias("gap"),
+            (mark["at"] - state["at"] + 1).alias("size"),
+        )
+        return F.struct(
+            F.when(opens, mark["run"]).when(closes, "").otherwise(state["open"]).alias("open"),
+            F.when(opens, mark["at"]).otherwise(state["at"]).alias("at"),
+            F.when(closes, mark["at"] + 1).otherwise(state["done"]).alias("done"),
+            F.when(closes, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+            .alias("spans"),
+        ).cast(_FENCE)
+
+    def finish(state: Column) -> Column:
+        rest = F.struct(
+            (state["at"] - state["done"]).alias("gap"), (F.size(lines) - state["at"]).alias("size")
+        )
+        return F.when(state["open"] == "", state["spans"]).otherwise(
+            F.concat(state["spans"], F.array(rest)))
 
-@F.pandas_udf(T.StringType())
-def _blank_fences(documents: pd.Series) -> pd.Series:
-    return documents.map(_blank_fenced, na_action="ignore")
+    start = F.struct(
+        F.lit("").alias("open"), F.lit(0).alias("at"), F.lit(0).alias("done"),
+        F.array().cast("array<struct<gap:int,size:int>>").alias("spans"),
+    ).cast(_FENCE)
+    return F.aggregate(_fence_marks(lines), start, step, finish)
+
+
+def _blank_fences(document: Column) -> Column:
+    """The document with the lines of its code fences emptied; line breaks stay."""
+    def emptied(lines: Column) -> Column:
+        fenced = F.flatten(F.transform(_fence_spans(lines), lambda s: F.concat(
+            F.array_repeat(F.lit(False), s["gap"]), F.array_repeat(F.lit(True), s["size"]))))
+        return F.array_join(F.zip_with(lines, fenced, lambda line, inside: F.concat(
+            F.when(inside, F.regexp_extract(line["content"], RARE_BREAK, 0))
+            .otherwise(line["content"]), line["ending"])), "")
+
+    return text.let(text.lines(document), emptied)
 
 
 def mask_code_fences(document: Column) -> Column:
     """Text with fenced lines emptied, line numbers unchanged.
 
-    Only documents that contain a fence marker travel to Python; for the others the
-    helper receives null and the text stays in the JVM.
+    Lines that begin like a fence are folded into spans, and the spans are laid over the lines:
+    one pass inside the row. Documents without such a line are left as they are.
     """
-    candidate = F.when(F.regexp_like(document, F.lit(FENCE_HINT)), document)
-    return F.coalesce(_blank_fences(candidate), document)
+    return F.when(
+        F.regexp_like(document, F.lit(FENCE_HINT)), _blank_fences(document)
+    ).otherwise(document)
 
 
 def explode_lines(
@@ -230,15 +264,10 @@ def _units(document: Column) -> Column:
     )
 
 
-@functools.lru_cache(maxsize=32)
 def _segment_columns(
-    application: str, id_col: str, text_col: str, fences: bool, keep: tuple[str, ...]
+    id_col: str, text_col: str, fences: bool, keep: tuple[str, ...]
 ) -> tuple[list, list, list]:
-    """The three projections of ``segment_markdown``.
-
-    Column expressions belong to no frame, so they are built once per application: building
-    them costs about a second of calls into the JVM.
-    """
+    """The three projections of ``segment_markdown``."""
     document = mask_code_fences(F.col(text_col)) if fences else F.col(text_col)
     units = [
         F.col(id_col).alias("document_id"), *keep,
@@ -300,8 +329,7 @@ def segment_markdown(
 
     ``keep`` names document columns to carry to every block, which saves a join later.
     """
-    application = docs.sparkSession.sparkContext.applicationId
-    units, shaped, blocks = _segment_columns(application, id_col, text_col, fences, tuple(keep))
+    units, shaped, blocks = _segment_columns(id_col, text_col, fences, tuple(keep))
     return docs.select(*units).select(*shaped).select(*blocks)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from textloom import schemas
 
-MAX_LISTED = 100
 
 
 def metrics_snapshot(jobs: DataFrame, attempts: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -57,10 +56,10 @@ def metrics_snapshot(jobs: DataFrame, attempts: DataFrame, analyses: DataFrame)
 
 
 def recent_jobs(jobs: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest jobs, ties by id; between 1 and 100 rows."""
-    if isinstance(limit, bool) or not isinstance(limit, int):
-        raise ValueError("limit must be an integer")
-    return jobs.orderBy(F.desc("created_at"), F.asc("id")).limit(max(1, min(limit, MAX_LISTED)))
+    """The ``limit`` newest jobs, ties by id."""
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
+        raise ValueError("limit must be a whole number above zero")
+    return jobs.orderBy(F.desc("created_at"), F.asc("id")).limit(limit)
 
 
 def jobs_by_batch(jobs: DataFrame, batch_id: str) -> DataFrame:

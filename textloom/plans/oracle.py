@@ -283,12 +283,24 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           CAST(sum(length(regexp_replace(t, '[^\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]', '', 'g')))
             AS BIGINT) AS cjk,
           CAST(sum(length(regexp_replace(t, '[^\x{0600}-\x{06ff}]', '', 'g'))) AS BIGINT) AS arabic
-        FROM (SELECT document_id, substr(base || noise, 1, 400) AS t FROM mixed) GROUP BY ALL"""),
+        FROM (SELECT document_id, base || noise AS t FROM mixed) GROUP BY ALL"""),
     "sample": (("blocks",), """
         SELECT document_id, seq, substr(source_text, 1, CAST(20000 - before AS BIGINT)) AS t
         FROM (SELECT *, coalesce(sum(length(source_text)) OVER (PARTITION BY document_id
           ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blocks)
         WHERE before < 20000"""),
+    "block_json": (("blocks",), """
+        SELECT document_id, seq, '{"seq":' || seq || ',"source_text":'
+          || CAST(to_json(source_text) AS VARCHAR) || '}' AS j FROM blocks"""),
+    "payloads": (("block_json",), """
+        SELECT b.document_id, b.seq, b.j, CAST(0 AS BIGINT) AS payload_no, length(b.j) + 1 AS fill
+        FROM block_json b WHERE b.seq = 0
+        UNION ALL
+        SELECT b.document_id, b.seq, b.j,
+          p.payload_no + CASE WHEN p.fill + length(b.j) + 1 > 15999 THEN 1 ELSE 0 END,
+          CASE WHEN p.fill + length(b.j) + 1 > 15999 THEN 0 ELSE p.fill END + length(b.j) + 1
+        FROM payloads p JOIN block_json b ON b.document_id = p.document_id
+          AND b.seq = p.seq + 1"""),
     "packed": (("blocks",), """
         SELECT b.document_id, b.seq, b.source_text, CAST(0 AS BIGINT) AS chunk_seq,
           length(b.source_text) AS fill, CAST(0 AS BIGINT) AS seq_in_chunk
@@ -526,54 +538,40 @@ RAW: dict[str, str] = {
           sum(length(regexp_replace(t, '[^\x{0400}-\x{04ff}]', '', 'g'))) AS c,
           sum(length(regexp_replace(t, '[^A-Za-zß]', '', 'g'))) AS l,
           bool_or(regexp_matches(t, '[іїєґІЇЄҐ]')) AS m
-          FROM (SELECT document_id, substr(base || noise, 1, 1000) AS t FROM mixed QUALIFY
-            row_number() OVER (PARTITION BY document_id ORDER BY seq) <= 20) GROUP BY ALL)""",
+          FROM (SELECT document_id, base || noise AS t FROM mixed) GROUP BY ALL)""",
     "detect_language_any": r"""
         SELECT document_id, CASE WHEN NOT c THEN 'en' WHEN m THEN 'uk' ELSE 'ru' END AS language
         FROM (SELECT document_id, bool_or(regexp_matches(t, '[\x{0400}-\x{04ff}]')) AS c,
           bool_or(regexp_matches(t, '[іїєґІЇЄҐ]')) AS m
-          FROM (SELECT document_id, substr(x, 1, CAST(20000 - before AS BIGINT)) AS t FROM (
-            SELECT document_id, x, coalesce(sum(length(x)) OVER (PARTITION BY document_id ORDER BY
-              seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-            FROM (SELECT document_id, seq, base || noise AS x FROM mixed)) WHERE before < 20000)
-          GROUP BY ALL)""",
+          FROM (SELECT document_id, base || noise AS t FROM mixed) GROUP BY ALL)""",
     "leading_sample": "SELECT document_id, seq, CAST(length(t) AS BIGINT) AS chars FROM sample",
     "extract_terms": r"""
         SELECT document_id, rank, w AS term FROM (SELECT *, row_number() OVER (PARTITION BY
           document_id ORDER BY place) AS rank FROM (
           SELECT document_id, w, min(seq * 1000000 + i) AS place FROM (
             SELECT document_id, seq, unnest(l) AS w, unnest(range(0, len(l))) AS i FROM (
-              SELECT document_id, seq, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS l FROM sample))
+              SELECT document_id, seq, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS l
+              FROM (SELECT document_id, seq, source_text AS t FROM blocks)))
           WHERE regexp_full_match(w, '[\p{L}\p{Nl}\p{No}]+') AND regexp_matches(w, '^\p{Lu}')
-          GROUP BY ALL)) WHERE rank <= 20""",
+          GROUP BY ALL))""",
     "document_outline": """
         SELECT o.*, s.cyrillic, s.latin, s.cjk, s.arabic FROM (
-          SELECT document_id, max(n) AS block_count, min(lo) AS first_seq, max(hi) AS last_seq,
-            string_agg(seq || ':' || substr(t, 1, 80), '|' ORDER BY seq)
-              FILTER (up <= 30 OR down <= 30) AS heads FROM (
-            SELECT document_id, seq, base || noise AS t,
-              count(*) OVER (PARTITION BY document_id) AS n,
-              min(seq) OVER (PARTITION BY document_id) AS lo,
-              max(seq) OVER (PARTITION BY document_id) AS hi,
-              row_number() OVER (PARTITION BY document_id ORDER BY seq) AS up,
-              row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS down FROM mixed)
+          SELECT document_id, count(*) AS block_count, min(seq) AS first_seq,
+            max(seq) AS last_seq,
+            string_agg(seq || ':' || base || noise, '|' ORDER BY seq) AS heads FROM mixed
           GROUP BY ALL) o JOIN scripts s USING (document_id)""",
     "read_range": """
-        SELECT document_id, seq, substr(source_text, 1, 1000) AS snippet FROM turns
-        WHERE seq >= 2 AND seq < 5""",
+        SELECT document_id, seq, source_text AS snippet FROM turns WHERE seq >= 2 AND seq < 5""",
     "search_blocks": """
-        SELECT document_id, seq, substr(source_text, greatest(1, pos - 250), 1000) AS snippet FROM (
-          SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS rank FROM (
-            SELECT *, instr(replace(lower(source_text), 'ß', 'ss'), 'the') AS pos FROM blocks)
-          WHERE pos > 0) WHERE rank <= 8""",
+        SELECT document_id, seq, w AS keyword, source_text AS snippet
+        FROM blocks, (VALUES ('The'), ('STRASSE'), ('tion.')) AS k(w)
+        WHERE instr(replace(lower(source_text), 'ß', 'ss'), lower(w)) > 0""",
     "bounded_payload": """
-        SELECT document_id, CAST(length(p) AS BIGINT) AS chars, sha256(p) AS payload_hash FROM (
-          SELECT document_id, '[' || coalesce(string_agg(j, ',' ORDER BY seq)
-            FILTER (upto + 1 <= 16000), '') || ']' AS p FROM (
-            SELECT *, sum(length(j) + 1) OVER (PARTITION BY document_id ORDER BY seq) AS upto FROM (
-              SELECT document_id, seq, '{"seq":' || seq || ',"source_text":'
-                || CAST(to_json(source_text) AS VARCHAR) || '}' AS j FROM blocks))
-          GROUP BY ALL)""",
+        SELECT document_id, payload_no, entries, CAST(length(p) AS BIGINT) AS chars,
+          sha256(p) AS payload_hash FROM (
+          SELECT document_id, payload_no, count(*) AS entries,
+            '[' || string_agg(j, ',' ORDER BY seq) || ']' AS p
+          FROM payloads GROUP BY ALL)""",
     "normalize_languages": """
         SELECT document_id, array_to_string(languages, ',') AS languages FROM req""",
     "fan_out": "SELECT document_id, position, target_language FROM fanned",
@@ -861,7 +859,7 @@ RAW: dict[str, str] = {
           UNION ALL SELECT 'llm_triage_tokens_total', 'input', sum(tokens_in_total) FROM analyses
           UNION ALL SELECT 'llm_triage_tokens_total', 'output', sum(tokens_out_total)
             FROM analyses)""",
-    "recent_jobs": "SELECT id, status FROM jobs ORDER BY created_at DESC, id LIMIT 100",
+    "recent_jobs": "SELECT id, status FROM jobs ORDER BY created_at DESC, id LIMIT 500",
     "jobs_by_batch": "SELECT id, document_id FROM jobs WHERE batch_id = '7.1'",
     "batch_family": "SELECT id, batch_id FROM jobs WHERE starts_with(batch_id, '7.')",
     "filter_by_status": "SELECT id FROM jobs WHERE status = 'completed_with_errors'",
@@ -969,7 +967,7 @@ RAW: dict[str, str] = {
         SELECT n AS "order", substr(t, i, n) AS gram, count(*) AS n FROM (
           SELECT n, t, unnest(range(1, length(t) - n + 2)) AS i FROM (
             SELECT regexp_replace(source_text, '\s+', '', 'g') AS t FROM turns)
-          CROSS JOIN (SELECT unnest(range(1, 4)) AS n) WHERE length(t) >= n)
+          CROSS JOIN (SELECT unnest(range(1, 7)) AS n) WHERE length(t) >= n)
         GROUP BY 1, 2""",
     "chrf": """
         SELECT t.id AS pair_id, round(coalesce(CASE WHEN 4 * p + q > 0

@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 NOW = "2000-06-01 00:00:00"
-KEYWORD = "The"
+KEYWORDS = (" The ", "STRASSE", "tion.")
 
 
 def query(function: Query) -> Query:
@@ -91,12 +91,6 @@ def translation_backlog_cost(spark, sf):
 # --- sources -------------------------------------------------------------------------
 
 
-@query
-def corpus_files(spark, sf):
-    """Files of the input folder with their sizes; contents are not read."""
-    return files.read_corpus(spark, sf, "*.parquet").select("filename", "size_bytes")
-
-
 @query
 def sniff_format(spark, sf):
     return files.sniff_format(b.pages_as_files(spark, sf)).select("upload_no", "suffix", "format")
@@ -356,7 +350,7 @@ def detect_language_any(spark, sf):
 
 @query
 def leading_sample(spark, sf):
-    return profiling.leading_sample(b.blocks(spark, sf)).select(
+    return profiling.leading_sample(b.blocks(spark, sf), profiling.SAMPLE_CHARS).select(
         "document_id", "seq", F.length("sample").alias("chars")
     )
 
@@ -383,14 +377,14 @@ def read_range(spark, sf):
 
 @query
 def search_blocks(spark, sf):
-    return profiling.search_blocks(b.blocks(spark, sf), f" {KEYWORD} ")
+    return profiling.search_blocks(b.blocks(spark, sf), KEYWORDS)
 
 
 @query
 def bounded_payload(spark, sf):
     entry = F.struct("seq", "source_text")
     return profiling.bounded_payload(b.blocks(spark, sf), entry).select(
-        "document_id", F.length("payload").alias("chars"),
+        "document_id", "payload_no", "entries", F.length("payload").alias("chars"),
         identity.sha256(F.col("payload")).alias("payload_hash"),
     )
 
@@ -740,7 +734,7 @@ def infer_with_retries(spark, sf):
     """Calls per unit when some fail; written once, then read."""
     stored = inference.infer_to_table(
         _units(spark, sf), FlakyProvider(), f"{shared_folder(spark, 'results')}/r",
-        wait=_no_wait,
+        wait=_no_wait, concurrency=1,  # the provider remembers its last call
     )
     return inference.attempt_ledger(stored).select(
         *reuse.KEY, "attempt_no", "outcome", "error_code", "tokens_in", "tokens_out"
@@ -1252,7 +1246,7 @@ def _pairs(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    return quality.char_ngrams(b.turns(spark, sf).select("id", "source_text"), "source_text", 3
+    return quality.char_ngrams(b.turns(spark, sf).select("id", "source_text"), "source_text"
                                ).groupBy("order", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -1268,8 +1262,7 @@ def _literal_texts(spark, sf):
         (k % 9 + 1).cast("string"), F.lit("-11 for $"), (k % 50).cast("string"),
         F.lit(".50 or EUR 80, "), (k % 100).cast("string"), F.lit("% of "), k.cast("string"),
     )
-    padded = b.spread(b.table(spark, sf, "documents").select(k.alias("pair_id"),
-                                                             pad.alias("source")), "pair_id")
+    padded = b.table(spark, sf, "documents").select(k.alias("pair_id"), pad.alias("source"))
     return padded.withColumn("translated", F.translate("source", "37$", "48€"))
 
 
