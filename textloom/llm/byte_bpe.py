@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from textloom.llm.common import strings
 
-_MOST_WORDS = 800_000
-_MOST_STATES = 400_000
-_MOST_PAIRS = 1_000_000
+_MOST_WORDS = 500_000
+_MOST_STATES = 250_000
+_MOST_PAIRS = 600_000
 _LEAST_SLICE = 1 << 20
 
 
