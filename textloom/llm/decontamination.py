@@ -216,7 +216,7 @@ def item_blocks(
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    q: int = 10, rate: float = 0.06, block_chars: int = 20_000_000,
+    q: int = 10, rate: float = 0.08, block_chars: int = 20_000_000,
 ) -> DataFrame:
     """doc_id, item_id, edits, end_at: one row per text and benchmark item that occurs in it.
 
@@ -237,7 +237,7 @@ def contaminated(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = 10, rate: float = 0.06,
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = 10, rate: float = 0.08,
     block_chars: int = 20_000_000,
 ) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs, all columns as they were."""
