@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -281,13 +282,22 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["key", "host", "content", "subtree"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = [None if p is None else zlib.compress(p, 1)
+                 for p in batch.column("html").cast(pa.binary()).to_pylist()]
+        yield pa.record_batch(
+            [*(batch.column(c) for c in ("key", "page_id", "url")), pa.array(pages, pa.binary())],
+            names=["key", "page_id", "url", "html"])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for source, deleted in zip(
-            strings(batch.column("html")), batch.column("deleted").to_pylist(), strict=True
+        for page, deleted in zip(
+            batch.column("html").to_pylist(), batch.column("deleted").to_pylist(), strict=True
         ):
-            root = parse(source)
+            root = parse("" if page is None else zlib.decompress(page).decode())
             if deleted:
                 hash_subtrees(root)
             texts.append("\n".join(blocks(root, frozenset(deleted or ()))))
@@ -305,7 +315,7 @@ def extract_main_text(
     """
     host, _ = url_parts(F.col("url"))
     keyed = pages.select(
-        "page_id", "url", "html", host.alias("host"),
+        F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"),
         # Rows equal in all columns share a key, which is right: they have the same deletions.
         F.xxhash64("page_id", "url", "html").alias("key"))
     subtrees = keyed.select("key", "host", "html").mapInArrow(
@@ -314,13 +324,16 @@ def extract_main_text(
     seen = subtrees.select("host", "content", "subtree").distinct()
     per_subtree = seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(
         F.col("pages") >= least_pages)
-    per_host = subtrees.select("host", "content").distinct().groupBy("host").agg(
+    per_host = seen.groupBy("host", "content").agg(F.count("*")).groupBy("host").agg(
         F.count("*").alias("host_pages"))
     template = per_subtree.join(per_host, "host").where(
         F.col("pages") > F.col("host_pages") * share).select("host", "subtree")
     deletions = subtrees.join(template, ["host", "subtree"], "left_semi").groupBy("key").agg(
         F.collect_set("subtree").alias("deleted"))
-    return keyed.drop("host").join(deletions, "key", "left").select(
+    # Pages travel compressed: markup shrinks to a fraction.
+    packed = keyed.select("key", "page_id", "url", "html").mapInArrow(
+        _pack, "key long, page_id long, url string, html binary")
+    return packed.join(deletions, "key", "left").select(
         "page_id", "url", "html", "deleted",
     ).mapInArrow(_extract, "page_id long, url string, text string").select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
