@@ -103,6 +103,32 @@ def test_incremental_translation_never_repeats_stored_work(spark, tmp_path):
     assert sorted(p.name.split("-")[0] for p in calls.iterdir()) == ["a", "b", "c", "no"]
 
 
+def test_texts_that_failed_for_a_time_are_taken_up_again(spark, tmp_path):
+    class Moody:
+        def __init__(self, sign):
+            self.sign = sign
+
+        def translate(self, source, language, model):
+            import os
+            if source == "late" and not os.path.exists(self.sign):
+                raise inference.ProviderFailure("provider_timeout", 3, 0)
+            return source.upper(), 1, 1
+
+    folder, sign = str(tmp_path / "in"), tmp_path / "well"
+    for batch in (["a", "late"], ["b"], ["c"]):
+        spark.createDataFrame([("k", s, s, "de", "m") for s in batch], UNITS).coalesce(1).write.mode(
+            "append").parquet(folder)
+        feeds.incremental_translate(
+            spark.readStream.schema(UNITS).parquet(folder), str(tmp_path / "memory"),
+            Moody(str(sign)), str(tmp_path / "state"), max_attempts=1,
+        ).trigger(availableNow=True).start().awaitTermination()
+        if batch == ["b"]:
+            sign.touch()
+    stored = feeds.read_memory(spark, str(tmp_path / "memory")).collect()
+    assert sorted(r.translated_text for r in stored) == ["A", "B", "C", "LATE"]
+    assert all(r.created_at for r in stored)
+
+
 @pytest.fixture(autouse=True)
 def small_state(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")

@@ -14,12 +14,16 @@ from textloom.functions.ordered import number_rows
 
 
 def _with_prices(df: DataFrame, model: str) -> DataFrame:
-    # The price list is four fixed rows, so it always travels to the data.
-    listed = schemas.prices(df.sparkSession).select(
-        F.col("model").alias("_model"), F.col("input").alias("_in"),
-        F.col("cached_input").alias("_cached"), F.col("output").alias("_out"),
+    # The price list is a few fixed rows: a map in the plan, so no join of any kind.
+    listed = F.create_map(*[
+        value for name, *rates in schemas.PRICES
+        for value in (F.lit(name), F.array(*[F.lit(float(r)) for r in rates]))
+    ])
+    rates = F.try_element_at(listed, F.col(model))
+    return df.select(
+        "*", F.when(rates.isNotNull(), F.col(model)).alias("_model"),
+        *[rates[i].alias(name) for i, name in enumerate(_PRICE_COLUMNS[1:])],
     )
-    return df.join(F.broadcast(listed), F.col(model) == F.col("_model"), "left")
 
 
 _PRICE_COLUMNS = ("_model", "_in", "_cached", "_out")

@@ -922,21 +922,33 @@ RAW: dict[str, str] = {
     "missing_artifacts": """
         SELECT id FROM jobs WHERE status IN ('done', 'completed_with_errors')
           AND k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
-    "check_keys": """
-        SELECT 'jobs' AS table_name, 'id' AS key_columns, id AS key_value, count(*) AS copies
-        FROM jobs GROUP BY ALL HAVING count(*) > 1
-        UNION ALL SELECT 'jobs', 'idempotency_key', idempotency_key, count(*) FROM jobs GROUP BY ALL
-        HAVING count(*) > 1
-        UNION ALL SELECT 'chunks', 'id', id, count(*) FROM chunks GROUP BY ALL HAVING count(*) > 1
-        UNION ALL SELECT 'attempts', 'id', id, count(*) FROM log GROUP BY ALL
-        HAVING count(*) > 1""",
-    "check_references": """
-        SELECT 'jobs' AS child_table, 'documents' AS parent_table, document_id AS missing_key,
-          count(*) AS orphans FROM jobs WHERE document_id NOT IN (SELECT id FROM docs) GROUP BY ALL
-        UNION ALL SELECT 'chunks', 'jobs', job_id, count(*) FROM chunks
-          WHERE job_id NOT IN (SELECT id FROM jobs) GROUP BY ALL
-        UNION ALL SELECT 'attempts', 'chunks', chunk_id, count(*) FROM log WHERE outcome = 'ok'
-          AND chunk_id NOT IN (SELECT id FROM chunks) GROUP BY ALL""",
+    "check_keys": "\nUNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{','.join(key)}' AS key_columns, "
+        f"concat_ws('|', {', '.join(key)}) AS key_value, count(*) AS copies FROM {part} "
+        f"GROUP BY {', '.join(key)} HAVING count(*) > 1"
+        for table, part, key in (
+            ("documents", "docs", ("id",)), ("blocks", "blocks", ("id",)),
+            ("blocks", "blocks", ("document_id", "seq")), ("analyses", "analyses", ("document_id",)),
+            ("jobs", "jobs", ("id",)), ("jobs", "jobs", ("idempotency_key",)),
+            ("chunks", "chunks", ("id",)), ("chunks", "chunks", ("job_id", "seq")),
+            ("chunk_blocks", "links", ("chunk_id", "block_id")),
+            ("chunk_blocks", "links", ("chunk_id", "seq_in_chunk")),
+            ("translations", "memory", ("translation_key", "source_hash")),
+            ("attempts", "log", ("id",)),
+        )),
+    "check_references": "\nUNION ALL ".join(
+        f"SELECT '{child}' AS child_table, '{parent}' AS parent_table, {column} AS missing_key, "
+        f"count(*) AS orphans FROM {part} WHERE {column} NOT IN (SELECT id FROM {parent_part}) "
+        "GROUP BY ALL"
+        for child, part, column, parent, parent_part in (
+            ("blocks", "blocks", "document_id", "documents", "docs"),
+            ("analyses", "analyses", "document_id", "documents", "docs"),
+            ("jobs", "jobs", "document_id", "documents", "docs"),
+            ("chunks", "chunks", "job_id", "jobs", "jobs"),
+            ("chunk_blocks", "links", "chunk_id", "chunks", "chunks"),
+            ("chunk_blocks", "links", "block_id", "blocks", "blocks"),
+            ("attempts", "log", "chunk_id", "chunks", "chunks"),
+        )),
     "check_aggregate": """
         SELECT * FROM (SELECT j.id AS job_id, j.total_chunks - coalesce(c.n, 0) AS chunk_difference,
             CAST(0 AS BIGINT) AS repeated_numbers, coalesce(f.n, 0) AS foreign_blocks

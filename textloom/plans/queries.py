@@ -1135,21 +1135,24 @@ def missing_artifacts(spark, sf):
     return state.missing_artifacts(b.jobs(spark, sf), artifacts).select("id")
 
 
+def _engine(spark, sf):
+    """All engine tables as bound to the given ones."""
+    return {
+        "documents": b.documents(spark, sf), "blocks": b.blocks(spark, sf),
+        "analyses": b.analyses(spark, sf), "jobs": b.jobs(spark, sf),
+        "chunks": b.chunks(spark, sf), "chunk_blocks": _job_links(spark, sf),
+        "translations": b.memory(spark, sf), "attempts": b.attempt_log(spark, sf),
+    }
+
+
 @query
 def check_keys(spark, sf):
-    return state.check_keys({
-        "jobs": b.jobs(spark, sf), "chunks": b.chunks(spark, sf),
-        "attempts": b.attempt_log(spark, sf),
-    })
+    return state.check_keys(_engine(spark, sf))
 
 
 @query
 def check_references(spark, sf):
-    return state.check_references({
-        "documents": b.documents(spark, sf), "jobs": b.jobs(spark, sf),
-        "chunks": b.chunks(spark, sf), "analyses": b.analyses(spark, sf),
-        "attempts": b.attempt_log(spark, sf).where(F.col("outcome") == "ok"),
-    })
+    return state.check_references(_engine(spark, sf))
 
 
 @query

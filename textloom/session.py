@@ -44,11 +44,14 @@ def tune(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    A local folder is used only when the session names none, as in tests.
+    Only a session on one machine may do without it, as in tests, and gets a local folder; on a
+    cluster it is an error, as every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext.getCheckpointDir()
     )
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return os.path.join(base, f"{name}-{spark.sparkContext.applicationId}-{os.urandom(4).hex()}")

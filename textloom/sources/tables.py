@@ -35,7 +35,10 @@ def output_conflicts(outputs: DataFrame, published: DataFrame | None = None) ->
     """Jobs with more than one artifact name, counting what is already published."""
     names = outputs.select("job_id", "filename")
     if published is not None:
-        names = names.unionByName(published.select("job_id", "filename"))
+        # Only what is published of these jobs can conflict with them.
+        names = names.unionByName(
+            published.select("job_id", "filename")
+            .join(outputs.select("job_id").distinct(), "job_id", "left_semi"))
     return (
         names.groupBy("job_id")
         .agg(F.min("filename").alias("first_name"), F.max("filename").alias("last_name"))

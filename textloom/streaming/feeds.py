@@ -47,45 +47,64 @@ def job_event_feed(observations: DataFrame, bucket: Column) -> DataFrame:
     )
 
 
-class _EventNames(StatefulProcessor):
-    """Keeps the last status of a job; a terminal status closes it."""
+class _PreviousStatus(StatefulProcessor):
+    """Puts the status before beside every observation; a terminal status closes the job.
+
+    A timer drops what is kept of a job some event time after it was last heard of.
+    """
+
+    def __init__(self, keep_ms: int) -> None:
+        self._keep = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "status string")
+        self._handle = handle
+        self._last = handle.getValueState("last", "status string, deadline_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        last = self._last.get()[0] if self._last.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for row in batch.itertuples(index=False):
-            if last in schemas.TERMINAL_STATUSES:
-                break
-            if row.status == "failed":
-                event = "error"
-            elif row.status in schemas.TERMINAL_STATUSES:
-                event = "done"
-            else:
-                event = "progress" if row.status == last else "status"
-            out.append((key[0], row.event_id, row.ts, row.status, event))
-            last = row.status
-        if out:
-            self._last.update((last,))
-            yield pd.DataFrame(out, columns=["job_id", "event_id", "ts", "status", "event"])
+        last, deadline = self._last.get() if self._last.exists() else (None, None)
+        if last in schemas.TERMINAL_STATUSES:
+            return
+        # Order is by event time, so the job's rows of this micro-batch are needed together.
+        found = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        ended = found["status"].isin(schemas.TERMINAL_STATUSES)
+        found = found[~ended.shift(fill_value=False).cummax()]
+        if deadline is not None:
+            self._handle.deleteTimer(deadline)
+        deadline = int(found["ts"].iloc[-1].timestamp() * 1000) + self._keep
+        if deadline > timerValues.getCurrentWatermarkInMs():
+            self._handle.registerTimer(deadline)
+            self._last.update((found["status"].iloc[-1], deadline))
+        yield found.assign(previous=found["status"].shift(fill_value=last))[
+            ["job_id", "event_id", "ts", "status", "previous"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._last.clear()
+        yield pd.DataFrame({"job_id": [], "event_id": [], "ts": [], "status": [], "previous": []})
 
     def close(self) -> None:
         pass
 
 
-def job_event_stream(observations: DataFrame) -> DataFrame:
-    """Streaming form of ``job_event_feed``; state is one status per job."""
-    return observations.select("job_id", "event_id", "ts", "status").groupBy(
-        "job_id"
-    ).transformWithStateInPandas(
-        _EventNames(),
+def job_event_stream(
+    observations: DataFrame, lateness: str = "7 days", keep_days: float = 30
+) -> DataFrame:
+    """Streaming form of ``job_event_feed``, by event time.
+
+    State is one status per job, dropped when the watermark is ``keep_days`` past the job's last
+    observation. Observations that are later than ``lateness`` are not told.
+    """
+    told = observations.select("job_id", "event_id", "ts", "status").withWatermark(
+        "ts", lateness
+    ).groupBy("job_id").transformWithStateInPandas(
+        _PreviousStatus(int(keep_days * 86_400_000)),
         outputStructType="job_id string, event_id bigint, ts timestamp, status string, "
-        "event string",
+        "previous string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
+    )
+    return told.select(
+        "job_id", "event_id", "ts", "status",
+        event_name(F.col("status"), F.col("previous")).alias("event"),
     )
 
 
@@ -103,12 +122,17 @@ class _LeaseWatch(StatefulProcessor):
         self._lease = handle.getValueState("lease", "lease_ms bigint, deadline_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows)).sort_values(["ts", "lease_ms"])
         if self._lease.exists():
             self._handle.deleteTimer(self._lease.get()[1])
             self._lease.clear()
-        # The newest observation decides: no lease means that the chunk was let go.
-        newest = batch["lease_ms"].iloc[-1]
+        # The newest observation decides: no lease means that the chunk was let go. One row is
+        # held at a time, whatever number arrives.
+        last = None
+        for part in rows:
+            top = part.sort_values(["ts", "lease_ms"]).iloc[-1]
+            if last is None or self._place(top) >= self._place(last):
+                last = top
+        newest = last["lease_ms"]
         if pd.notna(newest):
             # Strictly after the deadline, so one millisecond is added.
             deadline = int(newest) + self._grace + 1
@@ -118,6 +142,10 @@ class _LeaseWatch(StatefulProcessor):
                 self._handle.registerTimer(deadline)
                 self._lease.update((int(newest), deadline))
 
+    @staticmethod
+    def _place(row) -> tuple:
+        return row["ts"], pd.isna(row["lease_ms"]), 0 if pd.isna(row["lease_ms"]) else row["lease_ms"]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self._lease.exists():
             lease = self._lease.get()[0]
@@ -178,33 +206,64 @@ def incremental_translate(
 
     ``blocks`` is a stream of translation_key, source_hash, source_text, target_language,
     model. Every micro-batch writes its own folder, so a batch that runs again after a lost
-    executor replaces what it wrote before, and earlier batches are never inferred again.
+    executor replaces what it wrote before, and earlier batches are never inferred again. Texts
+    whose calls failed for a time are kept beside the memory and taken up by the next batch.
+    Results lie in folders by the beginning of their hash, and a batch reads those it needs.
     """
+    keys = [*reuse.KEY, "target_language", "model"]
+
     def translate(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        units = reuse.new_units(
-            batch, read_memory(spark, memory_path, before=epoch), ["target_language", "model"]
-        )
-        done = inference.infer(units, provider, **options)
-        done.withColumn("created_at", F.lit(None).cast("timestamp")).write.mode(
-            "overwrite"
-        ).parquet(f"{memory_path}/batch={epoch}")
+        waiting = _stored(
+            spark, f"{memory_path}.retry/batch={epoch - 1}",
+            "translation_key string, source_hash string, source_text string, "
+            "target_language string, model string")
+        asked = batch.select(*keys, "source_text").unionByName(waiting.select(*keys, "source_text"))
+        # At most 256 beginnings of two hexadecimal digits.
+        beginnings = [r[0] for r in asked.select(_beginning()).distinct().collect()]
+        known = read_memory(spark, memory_path, epoch, beginnings)
+        units = reuse.new_units(asked, known, ["target_language", "model"])
+        folder = f"{memory_path}/batch={epoch}"
+        inference.infer(units, provider, **options).withColumn(
+            "created_at", F.current_timestamp()
+        ).withColumn("beginning", _beginning()).write.mode("overwrite").partitionBy(
+            "beginning").parquet(folder)
+        again = [code for code, _, retryable in schemas.ERRORS if retryable]
+        failed = _stored(spark, folder, f"{inference.RESULT}, created_at timestamp").where(
+            F.col("error_code").isin(again)).select(*keys)
+        asked.join(failed, keys, "left_semi").dropDuplicates(keys).write.mode(
+            "overwrite").parquet(f"{memory_path}.retry/batch={epoch}")
 
     return (
         blocks.writeStream.foreachBatch(translate).option("checkpointLocation", checkpoint)
     )
 
 
-def read_memory(spark, memory_path: str, before: int | None = None) -> DataFrame:
-    """Stored translations; ``before`` leaves out a batch that is being written again."""
-    schema = f"{inference.RESULT}, created_at timestamp, batch int"
+def _beginning() -> Column:
+    return F.substring("source_hash", 1, 2).alias("beginning")
+
+
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """Rows of a folder, none where it does not exist yet."""
     try:
-        rows = spark.read.schema(schema).parquet(memory_path)
-    except AnalysisException as error:  # no batch has been written yet
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.createDataFrame([], schema)
-    kept = rows if before is None else rows.where(F.col("batch") < before)
-    return kept.where(F.col("translated_text").isNotNull()).select(
+        return spark.createDataFrame([], schema)
+
+
+def read_memory(
+    spark, memory_path: str, before: int | None = None, beginnings: list[str] | None = None
+) -> DataFrame:
+    """Stored translations; ``before`` leaves out a batch that is being written again,
+    ``beginnings`` reads only hashes that begin so."""
+    rows = _stored(spark, memory_path, (
+        f"{inference.RESULT}, created_at timestamp, batch int, beginning string"))
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    if beginnings is not None:
+        rows = rows.where(F.col("beginning").isin(beginnings))
+    return rows.where(F.col("translated_text").isNotNull()).select(
         "translation_key", "source_hash", "translated_text", "created_at"
     )
