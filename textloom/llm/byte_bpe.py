@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import strings
+from textloom.llm.common import in_pieces, strings
 
-_MOST_WORDS = 500_000
-_MOST_STATES = 250_000
-_MOST_PAIRS = 600_000
+_MOST_WORDS = 300_000
+_MOST_STATES = 120_000
+_MOST_PAIRS = 300_000
 _LEAST_SLICE = 1 << 20
 
 
@@ -344,7 +344,7 @@ def encode(
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _codec(path, pattern)
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = [_row(encoder, decoder, t, with_ids) for t in strings(batch.column("_text"))]
             n, ids_hash, bytes_hash, same, ids = zip(*rows) if rows else ((),) * 5
             columns = [batch.column("row"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()),

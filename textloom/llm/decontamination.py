@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import strings
+from textloom.llm.common import in_pieces, strings
 
 _PIECE = 1 << 19
 _TABLE_BITS = 22
@@ -186,7 +186,7 @@ def _groups(texts: list[str], overlap: int) -> Iterator[list[tuple[int, int, str
 def _search(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
-        for batch in batches:
+        for batch in in_pieces(batches):
             ids = batch.column("doc_id").to_pylist()
             hits = find_items(strings(batch.column("text")), block)
             yield pa.record_batch([
@@ -251,7 +251,7 @@ def drop_contaminated(
 
 def _keep_clean(items, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             dirty = {row for row, *_ in find_items(strings(batch.column(text_at)), items.value)}
             yield batch.filter(pa.array(
                 [i not in dirty for i in range(batch.num_rows)], pa.bool_()))

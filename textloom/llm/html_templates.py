@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import strings
+from textloom.llm.common import in_pieces, strings
 from textloom.llm.url_templates import url_parts
 
 _TOKEN = re.compile(
@@ -265,7 +265,7 @@ def _signed(data: bytes) -> int:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_pieces(batches):
         keys, hosts, contents, hashes = [], [], [], []
         for key, host, source in zip(
             batch.column("key").to_pylist(), batch.column("host").to_pylist(),
@@ -292,7 +292,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_pieces(batches):
         texts = []
         for page, deleted in zip(
             batch.column("html").to_pylist(), batch.column("deleted").to_pylist(), strict=True

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import strings
+from textloom.llm.common import in_pieces, strings
 
 UNKNOWN = "und"
 _PIECE = 1 << 18  # code points handled at once
@@ -104,7 +104,7 @@ def _count(orders: tuple[int, ...], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in in_pieces(batches):
             labels = batch.column("label").to_pylist()
             texts = strings(batch.column("text"))
             for label in labels:
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             names, scores = score_texts(strings(batch.column("_text")), shared.value)
             yield pa.record_batch(
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64()),
