@@ -136,8 +136,7 @@ def chunk_repeats(
     spread = F.when(F.col("earlier").isNull(), F.xxhash64("digest")).otherwise(
         F.xxhash64("doc_id", "start"))
     return (
-        rows.withColumn("_to", spread).repartition("_to").drop("_to")
-        .sortWithinPartitions("digest", "doc_id", "start")
+        rows.repartition(spread).sortWithinPartitions("digest", "doc_id", "start")
         .mapInArrow(_repeats, "doc_id long, start long, size long, earlier long")
     )
 

@@ -24,6 +24,7 @@ Texts travel once; those with runs of step 3 travel once more.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -126,21 +127,24 @@ def _rows_of_block(
     high = windows[np.append(at[1:], len(windows)) - 1] if len(at) else low
     place = chosen[low]
     key = hashes.of(place, anchor).view(np.int64)
-    content = (hashes.of(low, high - low + length) + (
-        (high - low) * 128 + (place - low)).astype(np.uint64) * _MIX).view(np.int64)
+    content = hashes.of(low, high - low + length) >> np.uint64(14) << np.uint64(14)
+    packed = (content | ((high - low) << 7 | (place - low)).astype(np.uint64)).view(np.int64)
     doc = np.array(ids, np.int64)[owner[low]]
-    shift = (np.array(offsets, np.int64) - begins)[owner[low]]
-    order = np.lexsort((low + shift, doc, content, key))
+    start = low + (np.array(offsets, np.int64) - begins)[owner[low]]
+    order = np.lexsort((start, doc, packed, key))
+    key, packed = key[order], packed[order]
     same = np.zeros(len(order), bool)
-    same[1:] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+    same[1:] = (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])
     return pa.record_batch([
-        pa.array(same), pa.array(key[order]), pa.array(content[order]), pa.array(doc[order]),
-        pa.array((low + shift)[order]), pa.array((high - low)[order].astype(np.int16)),
-        pa.array((place - low)[order].astype(np.int16)),
-    ], names=["known", "key", "content", "doc_id", "start", "more", "lead"])
+        pa.array(key), pa.array(packed), pa.array(doc[order]),
+        # Later copies in this block are known as such: their start is told as -1 - start.
+        pa.array(np.where(same, -1 - start[order], start[order])),
+    ], names=["key", "content", "doc_id", "start"])
 
 
-_RUNS = ("known boolean, key long, content long, doc_id long, start long, more short, lead short")
+#: content: 50 bits of the hash of the run's bytes, then 7 bits each for the windows after the
+#: first and the place of the anchor, both below ``length``.
+_RUNS = "key long, content long, doc_id long, start long"
 
 
 def _runs(length: int, anchor: int):
@@ -164,16 +168,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, content, document and start: whole repeats (key null), and the
     first of each of the different runs of an anchor."""
     for table in key_runs(batches, "key"):
-        known = table.column("known").to_numpy()
-        names = ("key", "content", "doc_id", "start", "more", "lead")
+        key, content, doc, start = (
+            table.column(c).to_numpy() for c in ("key", "content", "doc_id", "start"))
+        more, lead = (content >> 7 & 127).astype(np.int16), (content & 127).astype(np.int16)
+        known = start < 0
+        yield _found(doc[known], -1 - start[known], more[known], lead[known], None)
         key, content, doc, start, more, lead = (
-            table.column(c).to_numpy()[~known] for c in names)
+            x[~known] for x in (key, content, doc, start, more, lead))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
         starts, ends = runs_of(key)
         different = np.add.reduceat(fresh, starts) if len(starts) else np.empty(0, np.int64)
         several = fresh & np.repeat(different > 1, ends - starts)
-        yield _found(*(table.column(c).to_numpy()[known] for c in names[2:]), None)
         yield _found(doc[~fresh], start[~fresh], more[~fresh], lead[~fresh], None)
         yield _found(doc[several], start[several], more[several], lead[several], key[several])
 
@@ -217,16 +223,24 @@ _RUN_TYPE = pa.list_(pa.struct([
     ("key", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("bytes", pa.binary())]))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, the form in which they travel and wait."""
+    for batch in in_pieces(batches):
+        small = [zlib.compress(t, 1) for t in byte_values(batch.column("text"))]
+        yield pa.record_batch(
+            [batch.column("doc_id"), pa.array(small, pa.binary())], names=["doc_id", "text"])
+
+
 def _fetch(length: int, with_kept: bool):
     """Results of texts without runs to compare; texts and bytes of the runs of the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, 256):
             rows = []
-            for doc, text, found in zip(
-                batch.column("doc_id").to_pylist(), byte_values(batch.column("text")),
+            for doc, small, found in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(),
                 batch.column("found").to_pylist(), strict=True,
             ):
-                spans, runs = [], []
+                text, spans, runs = zlib.decompress(small), [], []
                 for x in found or ():
                     end = x["start"] + x["more"] + length
                     if x["key"] is None:
@@ -236,7 +250,7 @@ def _fetch(length: int, with_kept: bool):
                                      "bytes": text[x["start"]:end]})
                 spans = merged(spans)
                 if runs:
-                    rows.append((doc, len(text), None, None, None, None, text,
+                    rows.append((doc, len(text), None, None, None, None, small,
                                  [{"start": a, "end": b} for a, b in spans], runs))
                 else:
                     removed, n, digest, rest = _outcome(text, spans)
@@ -348,10 +362,11 @@ def _finish(with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, 256):
             rows = []
-            for doc, text, spans, more in zip(
-                batch.column("doc_id").to_pylist(), byte_values(batch.column("text")),
+            for doc, small, spans, more in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(),
                 batch.column("spans").to_pylist(), batch.column("more").to_pylist(), strict=True,
             ):
+                text = zlib.decompress(small)
                 every = [(s["start"], s["end"]) for s in [*(spans or ()), *(more or ())]]
                 removed, n, digest, rest = _outcome(text, every)
                 rows.append((doc, len(text), removed, n, digest, rest if with_kept else None))
@@ -373,21 +388,23 @@ def remove_repeats(
     """
     if not 4 < anchor <= length:
         raise ValueError("an anchor has at least five bytes and fits in a window")
+    if length > 128:
+        raise ValueError("a run's two numbers have seven bits each: windows up to 128 bytes")
     texts = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"))
     runs = texts.where("doc_id is not null").mapInArrow(_runs(length, anchor), _RUNS)
     # Known copies need to meet nobody and are spread by document.
-    to = F.when(F.col("known"), F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
+    to = F.when(F.col("start") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
     found = (
-        runs.withColumn("_to", to).repartition("_to").drop("_to")
-        .sortWithinPartitions("known", "key", "content", "doc_id", "start")
+        runs.repartition(to).sortWithinPartitions("key", "content", "doc_id", "start")
         .mapInArrow(_compare, _FOUND)
     )
     per_doc = found.groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "more", "lead", "key")).alias("found"))
+    packed = texts.mapInArrow(_pack, "doc_id long, text binary")
     fetched = written(
-        texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "found")
+        packed.join(per_doc, "doc_id", "left").select("doc_id", "text", "found")
         .mapInArrow(_fetch(length, with_kept), _TEXTS), "texts")
     marks = written(
         fetched.where("runs is not null").select("doc_id", F.explode("runs").alias("r"))
