@@ -142,7 +142,7 @@ def chunk_repeats(
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 150,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 100,
     bits: int = 5, least: int = 16, most: int = 256,
 ) -> DataFrame:
     """doc_id, start, n_bytes, n_chunks, earlier_doc_id: passages made of repeated chunks.
