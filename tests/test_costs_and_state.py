@@ -1,5 +1,6 @@
 """Accounting and operational state."""
 
+import json
 import math
 import random
 from datetime import UTC, datetime, timedelta
@@ -346,3 +347,37 @@ def test_time_text(spark):
     frame = spark.createDataFrame([("2024-01-02T03:04:05.000006Z",)], "t string")
     stamp = text.parse_iso(F.col("t"))
     assert frame.select(text.iso_utc(stamp)).first()[0] == "2024-01-02T03:04:05.000006+00:00"
+
+
+def test_chunk_inference_checks_answers_and_counts_attempts(spark):
+    class Odd:
+        calls = 0
+
+        def translate_chunk(self, request):
+            ids = [b["block_id"] for b in request["blocks_to_translate"]]
+            Odd.calls += 1
+            if ids[0] == "refused":
+                raise inference.ProviderFailure("provider_refusal", 5, 0)
+            if ids[0] == "short" and Odd.calls % 2:
+                return {}, 7, 1
+            return {i: request["plan"]["domain"] for i in ids}, 2, 2
+
+    def request(chunk, left, *ids):
+        payload = json.dumps({"context_before": [], "context_after": [], "blocks_to_translate": [
+            {"seq": n, "block_id": i, "source_text": "t"} for n, i in enumerate(ids)]})
+        return "d", chunk, "de", "m", '{"domain": "law"}', "{}", payload, left
+
+    frame = spark.createDataFrame(
+        [request(0, 3, "a", "b"), request(1, 3, "refused"), request(2, 3, "short"),
+         request(3, 0, "c")],
+        "document_id string, chunk_seq bigint, target_language string, model string, "
+        "plan_json string, glossary_json string, payload_json string, attempts_left int").coalesce(1)
+    rows = {r.chunk_seq: r for r in inference.infer_chunks(
+        frame, Odd(), lambda s: None, concurrency=1).collect()}
+    assert {b.block_id: b.translated_text for b in rows[0].blocks} == {"a": "law", "b": "law"}
+    assert rows[1].error_code == "provider_refusal" and len(rows[1].attempts) == 1
+    assert rows[3].error_code == "attempts_exhausted" and rows[3].attempts == []
+    short = rows[2]
+    assert short.error_code is None and short.attempts[-1].outcome == "ok"
+    assert all((a.tokens_in, a.error_code) == (7, "provider_invalid_response")
+               for a in short.attempts[:-1])

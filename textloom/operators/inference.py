@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -147,6 +148,101 @@ def infer_to_table(units: DataFrame, provider: Provider, path: str, **options) -
     return units.sparkSession.read.schema(RESULT).parquet(path)
 
 
+class ChunkProvider(Protocol):
+    """Translates the blocks of one chunk; must be picklable.
+
+    A request has target_language, model, plan, glossary, context_before, blocks_to_translate and
+    context_after; blocks have seq, block_id and source_text. Returns (texts by block id, tokens in,
+    tokens out) of the call.
+    """
+
+    def translate_chunk(self, request: dict) -> tuple[dict[str, str], int, int]: ...
+
+
+class PseudoChunkProvider:
+    """Deterministic stand-in for whole chunks."""
+
+    def translate_chunk(self, request: dict) -> tuple[dict[str, str], int, int]:
+        tag = request["target_language"]
+        told = {b["block_id"]: f"[{tag}] {b['source_text']}"
+                for b in request["blocks_to_translate"]}
+        return told, len(str(request)), sum(map(len, told.values()))
+
+
+CHUNK_RESULT = (
+    "document_id string, chunk_seq bigint, target_language string, model string, "
+    "error_code string, blocks array<struct<block_id:string,translated_text:string>>, "
+    "attempts array<struct<attempt_no:int,outcome:string,error_code:string,tokens_in:bigint,"
+    "tokens_out:bigint,latency_ms:bigint>>"
+)
+
+
+def infer_chunks(
+    requests: DataFrame,
+    provider: ChunkProvider,
+    wait: Callable[[float], None] = time.sleep,
+    concurrency: int = 8,
+) -> DataFrame:
+    """Run every request of ``planning.build_requests`` through a chunk provider.
+
+    ``requests`` has in addition model and attempts_left, the calls that the chunk may still make.
+    An answer must hold exactly the blocks asked for, as texts; another one is retried as an invalid
+    response, and what it was billed counts. Write the result before using it twice.
+    """
+    retryable = {code: again for code, _, again in schemas.ERRORS}
+
+    def one(row) -> tuple:
+        request = {
+            "target_language": row.target_language, "model": row.model,
+            "plan": json.loads(row.plan_json), "glossary": json.loads(row.glossary_json),
+            **json.loads(row.payload_json),
+        }
+        asked = {b["block_id"] for b in request["blocks_to_translate"]}
+        ledger, failure, told = [], "attempts_exhausted", {}
+        for attempt in range(row.attempts_left):
+            started, failure, used_in, used_out = time.perf_counter(), None, 0, 0
+            try:
+                told, used_in, used_out = provider.translate_chunk(request)
+                if set(told) != asked or not all(isinstance(t, str) for t in told.values()) or (
+                    min(used_in, used_out) < 0
+                ):
+                    failure = "provider_invalid_response"
+            except ProviderFailure as error:
+                failure, used_in, used_out = error.code, error.tokens_in, error.tokens_out
+            except Exception:
+                failure = "provider_connection"
+            again = failure is not None and retryable.get(failure, True)
+            ledger.append({
+                "attempt_no": attempt + 1, "error_code": failure,
+                "outcome": "ok" if failure is None
+                else "retryable_error" if again else "fatal_error",
+                "tokens_in": max(0, used_in), "tokens_out": max(0, used_out),
+                "latency_ms": round((time.perf_counter() - started) * 1000),
+            })
+            if not again:
+                break
+            if attempt + 1 < row.attempts_left:
+                wait(retry_delay(attempt))
+        blocks = [] if failure else [
+            {"block_id": k, "translated_text": v} for k, v in told.items()]
+        return failure, blocks, ledger
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for first in range(0, len(batch), 4 * concurrency):
+                    part = batch.iloc[first:first + 4 * concurrency]
+                    answers = list(pool.map(one, part.itertuples(index=False)))
+                    yield part[["document_id", "chunk_seq", "target_language", "model"]].assign(
+                        error_code=[a[0] for a in answers], blocks=[a[1] for a in answers],
+                        attempts=[a[2] for a in answers])
+
+    return requests.select(
+        "document_id", "chunk_seq", "target_language", "model", "plan_json", "glossary_json",
+        "payload_json", F.col("attempts_left").cast("int").alias("attempts_left"),
+    ).mapInPandas(run, CHUNK_RESULT)
+
+
 def attempt_ledger(results: DataFrame) -> DataFrame:
     """Every call that was made, one row each."""
     return results.select(

@@ -687,6 +687,15 @@ RAW: dict[str, str] = {
         FROM (SELECT *, length(source_text) % 7 AS m,
           unnest(range(1, CASE length(source_text) % 7 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END))
           AS attempt_no FROM units)""",
+    "translate_corpus": f"""
+        SELECT d.id AS document_id, coalesce(m.n, 0) AS new_blocks, CAST(0 AS BIGINT)
+          AS failed_chunks, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS text_hash
+        FROM (SELECT id, array_to_string(list_transform(string_split(text, {NL}), lambda x:
+            CASE WHEN trim(x, {WS}) = '' THEN x ELSE
+              substr(x, 1, length(x) - length(ltrim(x, {WS}))) || '[de] ' || trim(x, {WS})
+              || substr(x, length(rtrim(x, {WS})) + 1) END), {NL}) AS t FROM docs) d
+        LEFT JOIN (SELECT document_id, count(*) AS n FROM missing WHERE target = 'de' GROUP BY ALL) m
+          ON m.document_id = d.id""",
     "validate_results": """
         SELECT *, CASE WHEN missing + extra + duplicated + wrong_model + bad_usage + no_text > 0
           THEN 'provider_invalid_response' END AS error_code FROM (

@@ -741,6 +741,52 @@ def infer_with_retries(spark, sf):
     )
 
 
+@query
+def translate_corpus(spark, sf):
+    """The life of a job: blocks, chunks, what the memory lacks, requests, results, rebuilt text."""
+    docs, model = b.documents(spark, sf), "gpt-4o-mini"
+    keyed = b.keyed_blocks(spark, sf, ("de",))
+    memory = b.memory(spark, sf)
+    blocks = segmentation.segment_markdown(docs, fences=False)
+    packed = planning.pack_chunks(planning.count_tokens(blocks))
+    missing = reuse.misses(keyed, memory).join(
+        packed.select("document_id", "seq", "chunk_seq"), ["document_id", "seq"])
+    empty = F.array().cast("array<string>")
+    plans = docs.select(
+        F.col("id").alias("document_id"),
+        identity.plan_json(F.col("lang"), F.lit("general"), F.lit("neutral"), empty, empty,
+                           F.lit("ok")).alias("plan_json"),
+        F.lit("{}").alias("glossary_json"),
+    )
+    requests = planning.build_requests(
+        missing.select("document_id", "chunk_seq", F.lit("de").alias("target_language"),
+                       F.col("seq").cast("bigint").alias("seq"), F.col("id").alias("block_id"),
+                       "source_text"),
+        planning.neighbour_context(packed, blocks), blocks, plans,
+    ).withColumns({"model": F.lit(model), "attempts_left": F.lit(3)})
+    folder = f"{shared_folder(spark, 'chunks')}/results"
+    inference.infer_chunks(requests, inference.PseudoChunkProvider(), _no_wait).write.parquet(
+        folder)  # providers are called once, however often the results are read
+    stored = spark.read.schema(inference.CHUNK_RESULT).parquet(folder)
+    told = stored.select(F.inline("blocks")).withColumnRenamed("block_id", "id").join(
+        keyed.select("id", *reuse.KEY), "id")
+    fresh = told.select(*reuse.KEY, "translated_text").withColumn("created_at", now())
+    known = memory.unionByName(
+        reuse.append_first_wins(fresh, memory).select(*memory.columns))
+    keys = keyed.select("document_id", "target", "translation_key").distinct()
+    rendered = rebuild.render_blocks(rebuild.attach_translations(blocks, keys, known))
+    targets = docs.select(F.col("id").alias("document_id"), F.lit("de").alias("target"))
+    whole = rebuild.rebuild_documents(rebuild.rebuild_lines(docs, rendered, targets))
+    new = stored.groupBy("document_id").agg(
+        F.sum(F.size("blocks")).alias("new_blocks"), F.count_if(F.col("error_code").isNotNull())
+        .alias("failed_chunks"))
+    return whole.join(new, "document_id", "left").select(
+        "document_id", F.coalesce("new_blocks", F.lit(0)).cast("bigint").alias("new_blocks"),
+        F.coalesce("failed_chunks", F.lit(0)).alias("failed_chunks"),
+        F.length("text").alias("chars"), identity.sha256(F.col("text")).alias("text_hash"),
+    )
+
+
 @query
 def validate_results(spark, sf):
     """Turns as requested blocks; some results are lost, doubled, foreign or mislabelled."""
