@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import in_pieces, strings
+from textloom.llm.common import bounded_batches, in_pieces, strings
 
 _MOST_WORDS = 300_000
 _MOST_STATES = 120_000
@@ -345,7 +345,8 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _codec(path, pattern)
         for batch in in_pieces(batches):
-            rows = [_row(encoder, decoder, t, with_ids) for t in strings(batch.column("_text"))]
+            texts = strings(batch.column("row").field(text_col).cast(pa.string()))
+            rows = [_row(encoder, decoder, t, with_ids) for t in texts]
             n, ids_hash, bytes_hash, same, ids = zip(*rows) if rows else ((),) * 5
             columns = [batch.column("row"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()),
                        pa.array(bytes_hash, pa.string()), pa.array(same, pa.bool_())]
@@ -355,8 +356,8 @@ def encode(
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
 
-    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), columns.alias("row"))
+    bounded_batches(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     fields = [
         packed.schema["row"], T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),

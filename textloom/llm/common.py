@@ -39,6 +39,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most ``rows`` rows, so that a worker's memory does
+    not depend on the session's setting. Only ever lowers that setting; results are the same."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The values of a string column; null counts as the empty text."""
     return ["" if v is None else v for v in column.to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import in_pieces, strings
+from textloom.llm.common import bounded_batches, in_pieces, strings
 
 _PIECE = 1 << 19
 _TABLE_BITS = 22
@@ -225,6 +225,7 @@ def contaminated(
     Equal items are reported under each of their ids.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -242,6 +243,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs, all columns as they were."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = docs.schema
     for items in item_blocks(benchmark, q, rate, block_chars):
         docs = docs.mapInArrow(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import in_pieces, strings
+from textloom.llm.common import bounded_batches, in_pieces, strings
 
 UNKNOWN = "und"
 _PIECE = 1 << 18  # code points handled at once
@@ -136,6 +136,7 @@ def fit(
     What reaches the driver is one row per language and bucket in use: at most
     languages x 2**bits, however large the corpus.
     """
+    bounded_batches(docs.sparkSession)
     cells = (
         docs.select(
             F.col(f"`{text_col}`").cast("string").alias("text"),
@@ -190,13 +191,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches):
-            names, scores = score_texts(strings(batch.column("_text")), shared.value)
+            texts = strings(batch.column("row").field(text_col).cast(pa.string()))
+            names, scores = score_texts(texts, shared.value)
             yield pa.record_batch(
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                  batch.column("row")], names=["lang_pred", "score", "row"])
 
-    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), columns.alias("row"))
+    bounded_batches(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         packed.schema["row"],

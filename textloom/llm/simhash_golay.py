@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import byte_values, in_pieces, key_runs, runs_of, written
+from textloom.llm.common import bounded_batches, byte_values, in_pieces, key_runs, runs_of, written
 from textloom.llm.components import smallest_reachable
 
 #: The generator polynomial of the Golay code (degree 11) and the segment widths.
@@ -151,6 +151,7 @@ def fingerprints(
 
     Words are what lies between characters of `[\\x20\\x09-\\x0D]`, A-Z lower-cased.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
     ).mapInArrow(_fingerprints(words), "doc_id long, print long")
