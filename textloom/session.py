@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.sparkContext.getCheckpointDir()
     )
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return os.path.join(base, f"{name}-{spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
