@@ -34,7 +34,6 @@ from textloom.llm.common import bounded_batches, in_pieces, strings
 
 _MOST_WORDS = 300_000
 _MOST_STATES = 120_000
-_MOST_PAIRS = 300_000
 _LEAST_SLICE = 1 << 20
 
 
@@ -50,8 +49,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """The encoder for one vocabulary; see the module text."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int = _MOST_STATES):
+        self.ranks, self._most_states = ranks, most_states
         # Trie as one dict: (node, byte) -> node. A node is the token's rank, or a number beyond.
         self._step: dict[tuple[int, int], int] = {}
         self._token: dict[int, int] = {}
@@ -183,7 +182,7 @@ class Transducer:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The token ids of one match of the pattern."""
-        if len(self._guesses) > _MOST_STATES or len(self._pairs) > _MOST_PAIRS:
+        if len(self._guesses) > self._most_states or len(self._pairs) > 2.5 * self._most_states:
             self._forget()
         state, moves, out = self._start, self._moves, []
         for byte in word:
@@ -213,8 +212,8 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = _MOST_STATES):
+        self.machine = Transducer(ranks, most_states)
         self._words = _Words(self.machine)
         self._matches = regex.compile(pattern)
 
@@ -306,12 +305,14 @@ class Decoder:
 
 
 @lru_cache(2)
-def _codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+def _codec(
+    path: str, pattern: str, most_states: int = _MOST_STATES
+) -> tuple[Encoder, Decoder]:
     """One codec per worker process and vocabulary."""
     ranks = load_ranks(path)
     # The states are many small objects that all stay: scanning them for garbage is wasted time.
     gc.set_threshold(200_000, 50, 100)
-    return Encoder(ranks, pattern), Decoder(ranks)
+    return Encoder(ranks, pattern, most_states), Decoder(ranks)
 
 
 def _row(encoder: Encoder, decoder: Decoder, text: str, ids_out: bool) -> tuple:
@@ -335,15 +336,18 @@ def _row(encoder: Encoder, decoder: Decoder, text: str, ids_out: bool) -> tuple:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True
+    docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True,
+    most_states: int = _MOST_STATES,
 ) -> DataFrame:
     """``row`` (the input row packed), n_tokens, ids_sha256, decoded_sha256, round_trip and, unless
     left out, the ids themselves.
 
     Null counts as the empty text, which has no tokens. ``path`` must be readable by every worker.
+    ``most_states`` bounds what a worker keeps (about 1 kB a state) and changes no result; beyond it
+    the machine begins anew.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _codec(path, pattern)
+        encoder, decoder = _codec(path, pattern, most_states)
         for batch in in_pieces(batches):
             texts = strings(batch.column("row").field(text_col).cast(pa.string()))
             rows = [_row(encoder, decoder, t, with_ids) for t in texts]

@@ -34,7 +34,8 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encode(
         _table(spark, folder, "documents").select("doc_id", "text"),
-        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False,
+        most_states=300_000)
     return coded.select(
         F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
