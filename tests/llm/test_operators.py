@@ -523,6 +523,38 @@ def test_near_groups_match_brute_force(spark):
     assert simhash_golay.near_groups(documents(spark, [])).count() == 0
 
 
+def test_similar_documents_match_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):  # near copies far beyond four bits: up to a tenth of the shingles differ
+        words = prose(300 + i, 60 + 40 * i).split()
+        for j in range(5):
+            copy = words[:]
+            for _ in range(j * len(words) // 200 + (j > 0)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            rows.append((1000 * j + 17 * i, " ".join(copy).upper() if j == 4 else " ".join(copy)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "one two"), (20_003, "One  two"),
+             (20_004, prose(999, 50)), (None, rows[0][1])]
+    sets = {i: simhash_golay.shingle_set((t or "").encode(), 5) for i, t in rows if i is not None}
+    links = {(a, b) for a in sets for b in sets
+             if a < b and (n := len(sets[a] & sets[b])) and n >= 0.8 * len(sets[a] | sets[b])}
+    far = sum(bin(simhash_golay.fingerprint_of(simhash_golay.shingle_hashes(t[0], 4))
+                  ^ simhash_golay.fingerprint_of(simhash_golay.shingle_hashes(t[1], 4))).count("1") > 4
+              for t in ([dict(rows)[i].encode() for i in pair] for pair in links))
+    assert far > 20
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {(r.a, r.b) for r in simhash_golay.similar_links(documents(spark, rows)).collect()}
+    assert {tuple(sorted(x)) for x in got} <= links
+    kept = simhash_golay.drop_similar(documents(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(
+        i for i in root if root[i] == i)
+    assert kept.where("doc_id is null").count() == 1 and kept.columns[-1] == "digest"
+    assert simhash_golay.drop_similar(documents(spark, [])).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(6, 30)] + [(7, 7), (200, 5)]
     got = components.smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()

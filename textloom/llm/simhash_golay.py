@@ -261,3 +261,200 @@ def drop_near_copies(
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
                        F.col(f"`{id_col}`").cast("long").alias("_id"))
     return rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_doc.*")
+
+
+# ---- near copies by similarity of word shingles
+
+#: Fixed values of the search by similarity: keys per text, smallest hashes per key, the distance of
+#: fingerprints beyond which a candidate is not read, and the parts a hot text is compared in.
+BANDS, BAND_ROWS, PRINT_LIMIT, PARTS = 30, 5, 24, 32
+
+_FACTORS = np.random.default_rng(20_240_301).integers(
+    0, 1 << 63, (4, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingle hashes: each of ``BAND_ROWS`` smallest values under own mixings.
+
+    Sets of Jaccard similarity J share a given key with probability J ** BAND_ROWS, so at 0.8 all
+    30 keys of a pair differ for one pair in 150,000, above that for fewer.
+    """
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 256):  # bounded, also for very long texts
+        part = hashes[start:start + 256, None]
+        mixed = (part ^ part >> np.uint64(31)) * _FACTORS[0] + _FACTORS[1]
+        least = np.minimum(least, mixed.min(0))
+    least ^= least >> np.uint64(29)
+    keys = (least * _FACTORS[2]).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
+    return (keys ^ keys >> np.uint64(32)) * _FACTORS[3, :BANDS]
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches):
+            at, prints, sizes, keys = [], [], [], []
+            for i, text in enumerate(byte_values(batch.column(1))):
+                hashes = shingle_hashes(text, words)
+                if len(hashes):
+                    different = np.unique(hashes)
+                    at.append(i)
+                    prints.append(fingerprint_of(hashes))
+                    sizes.append(len(different))
+                    keys.append(band_keys(different))
+            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            yield pa.record_batch([
+                batch.column(0).take(pa.array(at, pa.int64())),
+                pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS),
+                    pa.array(flat.view(np.int64))),
+            ], names=["doc_id", "print", "size", "keys"])
+    return run
+
+
+def _may_be_similar(prints, sizes, i, j, similarity: float) -> np.ndarray:
+    """Whether texts i and j are worth reading; sizes of similar sets differ by a bounded factor."""
+    return (np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64)) <= PRINT_LIMIT) & (
+        np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
+
+
+def _to_first(similarity: float):
+    """From rows sorted by key and document: each document with the first one of its bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_runs(batches, "key"):
+            starts, ends = runs_of(table.column("key").to_numpy())
+            ids, prints, sizes = (table.column(c).to_numpy() for c in ("doc_id", "print", "size"))
+            first, every = np.repeat(starts, ends - starts), np.arange(len(ids))
+            use = (ids[first] != ids) & _may_be_similar(prints, sizes, first, every, similarity)
+            bits = np.bitwise_count((prints[first] ^ prints).view(np.uint64)).astype(np.int32)
+            yield pa.record_batch([pa.array(ids[first][use]), pa.array(ids[use]),
+                                   pa.array(bits[use])], names=["a", "b", "bits"])
+    return run
+
+
+def _across_parts(similarity: float):
+    """From rows sorted by key and part: candidates of one bucket that are not yet connected."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_runs(batches, "key"):
+            starts, ends = runs_of(table.column("key").to_numpy())
+            ids, prints, sizes, parts = (
+                table.column(c).to_numpy() for c in ("doc_id", "print", "size", "part"))
+            left, right, n = [], [], 0
+            for s, e in zip(starts, ends, strict=True):
+                if parts[s] == parts[e - 1]:
+                    continue
+                for first, stop in zip(*(x + s for x in runs_of(parts[s:e])), strict=True):
+                    for i in range(first, stop):
+                        near = stop + np.flatnonzero(_may_be_similar(
+                            prints, sizes, i, slice(stop, e), similarity))
+                        left.append(np.full(len(near), ids[i]))
+                        right.append(ids[near])
+                        n += len(near)
+                        if n > 1 << 16:
+                            yield _links(left, right)
+                            left, right, n = [], [], 0
+            if n:
+                yield _links(left, right)
+    return run
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(left), np.concatenate(right)
+    return pa.record_batch(
+        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def shingle_set(text: bytes, words: int) -> frozenset[tuple[bytes, ...]]:
+    parts = text.translate(_LOWER).split()
+    return frozenset(zip(*(parts[i:] for i in range(min(words, len(parts))))))
+
+
+def _similar(words: int, similarity: float):
+    """From rows sorted by a, part and b (null for the text of a itself): the similar pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            left, right = [], []
+            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
+            for i, text in enumerate(byte_values(batch.column("text"))):
+                if (a[i], part[i]) != now:
+                    now, held = (a[i], part[i]), []
+                own = shingle_set(text, words)
+                if b[i] is None:
+                    held.append(own)
+                    continue
+                for other in held:
+                    both = len(own & other)
+                    if both and both >= similarity * (len(own) + len(other) - both):
+                        left.append(a[i])
+                        right.append(b[i])
+                        break
+            yield pa.record_batch(
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+    return run
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts (doc_id, text) have that Jaccard similarity or more.
+
+    A text with many partners is compared in several tasks.
+    """
+    pairs = written(pairs.select("a", "b", F.pmod(F.hash("b"), F.lit(PARTS)).alias("part")), "pairs")
+    own = pairs.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select(
+        "a", "part", F.lit(None).cast("long").alias("b"), "text")
+    others = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    return (
+        own.unionByName(others).repartition("a", "part")
+        .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        .mapInArrow(_similar(words, similarity), "a long, b long")
+    )
+
+
+def similar_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    words: int = 5, similarity: float = 0.8,
+) -> DataFrame:
+    """Links (a, b) that connect all documents whose sets of word shingles are that similar.
+
+    Every link is checked on the texts. First each document is compared with its closest partner
+    among the first documents of its buckets, which connects clouds of near copies by one
+    comparison per document; then all candidates that are still unconnected are compared.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"))
+    sketches = written(texts.mapInArrow(
+        _sketches(words), "doc_id long, print long, size long, keys array<long>"), "sketches")
+    rows = sketches.select(F.explode("keys").alias("key"), "doc_id", "print", "size")
+    closest = (
+        rows.repartition("key").sortWithinPartitions("key", "doc_id")
+        .mapInArrow(_to_first(similarity), "a long, b long, bits int")
+        .groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
+    )
+    first = written(similar_pairs(closest, texts, words, similarity), "similar")
+    parts = smallest_reachable(first)
+    open_ = (
+        sketches.join(parts, F.col("doc_id") == F.col("node"), "left")
+        .select(F.explode("keys").alias("key"), "doc_id", "print", "size",
+                F.coalesce("component", "doc_id").alias("part"))
+        .repartition("key").sortWithinPartitions("key", "part")
+        .mapInArrow(_across_parts(similarity), "a long, b long").distinct()
+    )
+    return first.unionByName(similar_pairs(open_, texts, words, similarity))
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    words: int = 5, similarity: float = 0.8,
+) -> DataFrame:
+    """The row with the smallest id of each group connected by ``similar_links``.
+
+    All columns stay as they were, and so do rows without an id and texts without words. Repeated
+    ids stay or go together.
+    """
+    parts = smallest_reachable(similar_links(docs, id_col, text_col, words, similarity))
+    drop = parts.where("node != component").select(F.col("node").alias("_drop"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                       F.col(f"`{id_col}`").cast("long").alias("_id"))
+    return rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_doc.*")
