@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -372,6 +373,44 @@ def test_licences(spark):
         license_rules.find_licences(documents(spark, []), known={"x": "Anything goes."}).count()
 
 
+def test_licences_over_several_lines(spark):
+    known = license_rules.ALL_SENTENCES
+
+    def wrapped(*names, width=70, prefix="", end="\n"):
+        return f"{end}{prefix.rstrip()}{end}".join(
+            end.join(prefix + line for line in textwrap.wrap(known[n], width)) for n in names)
+
+    gpl2 = ("This program is free software; you can redistribute it and/or modify\n"
+            "it under the terms of the GNU General Public License as published by\n"
+            "the Free Software Foundation; either version 2 of the License, or\n"
+            "(at your option) any later version.\n")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A\n\n" + wrapped("mit-grant", "mit-condition")),
+        (2, "Copyright (c) 2020 A\n" + wrapped("mit-grant", "mit-condition", end="\r\n")),
+        (3, wrapped("bsd-redistribute") + "\n\n1. Some condition.\n\n3. " + wrapped("bsd-endorse")),
+        (4, gpl2), (5, gpl2.replace("GNU General", "GNU Lesser General").replace("n 2", "n 2.1")),
+        (6, wrapped("agpl-head-3", prefix=" * ")), (7, wrapped("isc-grant", width=40)),
+        (8, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0."
+            " If a copy of the MPL was not distributed with this\n// file, You can obtain one at"
+            " https://mozilla.org/MPL/2.0/."),
+        (9, wrapped("unlicense-public", width=30)), (10, "BSD 2-Clause License\n\n" + rows_bsd(wrapped)),
+        (11, wrapped("mit-grant").replace("hereby\n", "hereby ").replace("sell", "sell\n\n")),
+        (12, "Code\nlicensed under the MIT License. All\nRights Reserved."),
+        (13, "Intro\nReleased under the MIT License\nmore words"),
+    ]
+    got = {(r.doc_id, r.licence): r for r in
+           license_rules.find_licences(documents(spark, rows)).collect()}
+    assert set(got) == {
+        (1, "MIT"), (2, "MIT"), (3, "BSD-3-Clause"), (4, "GPL-2.0-or-later"),
+        (5, "LGPL-2.1-or-later"), (6, "AGPL-3.0-or-later"), (7, "ISC"), (8, "MPL-2.0"),
+        (9, "Unlicense"), (10, "BSD-2-Clause"), (12, "MIT"), (13, "MIT")}
+    assert got[2, "MIT"].first_at == 1 and got[13, "MIT"].first_at == 1
+
+
+def rows_bsd(wrapped):
+    return wrapped("bsd-redistribute") + "\n\n1. Redistributions must.\n"
+
+
 # ---- chunks
 
 def test_chunks_do_not_depend_on_pieces(monkeypatch):
