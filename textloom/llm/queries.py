@@ -13,13 +13,19 @@ from textloom.llm import (
     chunk_dedup,
     decontamination,
     exact_dedup,
+    hard_negatives,
     html_templates,
     language_id,
     license_rules,
+    merkle,
     simhash_golay,
     suffix_dedup,
+    token_files,
     url_templates,
 )
+from textloom.llm.common import work_folder
+from textloom.llm.hard_negatives_sql import HARD_NEGATIVES_SQL
+from textloom.llm.merkle_sql import merkle_sql
 from textloom.llm.oracle import exact_dedup_sql, license_sql, url_template_sql
 
 
@@ -73,11 +79,26 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_templates.extract_main_text(_table(spark, folder, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(
+        hard_negatives.quantised(_table(spark, folder, "embeddings")))
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_table(
+        _table(spark, folder, "documents"), work_folder(spark, "tokens"),
+        public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(_table(spark, folder, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_byte_bpe, op3_url_filters, op4_exact_dedup, op5_suffix_dedup,
         op6_license_scans, op7_substring_dedup, op8_decontamination, op9_simhash_near_dedup,
-        op10_html_extraction,
+        op10_html_extraction, op11_hard_negatives, op12_token_files, op13_merkle_manifest,
     )
 }
 
@@ -85,4 +106,6 @@ ORACLE: dict[str, str] = {
     "op3_url_filters": url_template_sql(),
     "op4_exact_dedup": exact_dedup_sql(),
     "op6_license_scans": license_sql(),
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op13_merkle_manifest": merkle_sql(),
 }
