@@ -27,7 +27,6 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +43,6 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from textloom.llm.common import in_pieces, strings
-
 MAGIC = b"TOKPFOR1"
 MANIFEST = "_manifest.json"
 BLOCK = 4096
@@ -228,20 +225,24 @@ class _Writer(DataSourceArrowWriter):
         self.folder = folder
         self.block = int(options.get("block", BLOCK))
         self.percentile = float(options.get("percentile", PERCENTILE))
+        self.tokenizer = options.get("tokenizer")
+        self.end = struct.pack("<I", int(options["endid"])) if "endid" in options else b""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, path = _file_system(self.folder)
         partition, name, shard, out = TaskContext.get().partitionId(), None, None, None
+        encode = WordEncoder(self.tokenizer).encode if self.tokenizer else bytes
         for batch in iterator:
-            ids = batch.column(batch.schema.get_field_index("ids")).cast(pa.large_binary())
-            bytes_ = ids.to_pylist()
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), bytes_, strict=True):
+            values = batch.column("text" if self.tokenizer else "ids")
+            for doc_id, value in zip(batch.column("doc_id"), values, strict=True):
                 if shard is None:
                     name = f"shard-{partition:06d}-{uuid.uuid4().hex}.tok"
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(f"{path}/{name}")
                     shard = ShardWriter(out, self.block, self.percentile)
-                shard.add(doc_id, np.frombuffer(data or b"", "<u4"))
+                value = value.as_py()
+                data = b"" if value is None else encode(value)
+                shard.add(doc_id.as_py(), np.frombuffer(data + self.end, "<u4"))
         if shard is None:
             return _Written(partition, None)
         shard.close()
@@ -280,7 +281,11 @@ class _Reader(DataSourceReader):
 
 
 class TokenBlocks(DataSource):
-    """The data source ``token_blocks``: (doc_id, start, n_tokens, ids as 32-bit little endian)."""
+    """The data source ``token_blocks``: (doc_id, start, n_tokens, ids as 32-bit little endian).
+
+    Written are (doc_id, ids), or (doc_id, text) with the option ``tokenizer``, the path of a
+    tokenizer file; the option ``endid`` is appended to every document.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -310,9 +315,9 @@ def read_range(folder: str, start: int, stop: int) -> np.ndarray:
 
 # ---- encoding
 
-#: Characters below U+0250 are starters without decompositions pending, so normal form C leaves them
-#: alone, and all but one have a lower case of one character.
-_PLAIN = regex.compile("[\x00-įı-ɏ]*")
+#: Characters below U+0250 are starters, so normal form C leaves them alone, and all but U+0130 have
+#: a lower case of one character. U+001C to U+001F part words for Python alone.
+_PLAIN = regex.compile(r"[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
 
 
 def _byte_letters() -> list[str]:
@@ -322,32 +327,38 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
 
 
-class _Words(dict):
-    """The ids of words; a new word is encoded by the library's model and kept while there is room."""
+class _Chunks(dict):
+    """The ids of what stands between white space, as bytes; kept while there is room."""
 
-    def __init__(self, model, most: int):
+    def __init__(self, library, pattern, most: int):
         super().__init__()
-        self.model, self.most, self.letters = model, most, _byte_letters()
-
-    def __missing__(self, word: str) -> list[int]:
-        spelt = word if word.isalpha() and word.isascii() else "".join(
-            map(self.letters.__getitem__, word.encode()))
-        ids = [t.id for t in self.model.tokenize(spelt)]
-        if len(self) < self.most and len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.model, self.pattern, self.most = library.model, pattern, most
+        self.letters = _byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # letters, then a mark: two words
+            return self[chunk[:-1]] + self[chunk[-1]]
+        ids = []
+        for word in [chunk] if chunk.isalpha() else self.pattern.findall(chunk):
+            spelt = word if word.isascii() and word.isalpha() else "".join(
+                map(self.letters.__getitem__, word.encode()))
+            ids += [t.id for t in self.model.tokenize(spelt)]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.most and len(chunk) <= 64:
+            self[chunk] = out
+        return out
 
 
 class WordEncoder:
-    """A tokenizer that maps words one by one, with the ids of each word kept.
+    """A tokenizer whose words do not depend on each other, with the ids of chunks of text kept.
 
-    Texts of plain characters (`_PLAIN`) are lower-cased and cut here by the tokenizer's own word
-    pattern, and every new word is encoded by the library's model. Any other text, and one that
-    could hold a special string, is encoded by the library as a whole. ``most_words`` bounds what
-    is kept; results do not depend on it.
+    A word never spans white space. Texts of plain characters (`_PLAIN`) are lower-cased and cut at
+    white space here; a new chunk is cut by the tokenizer's own word pattern and its words are
+    encoded by the library's model. Any other text, and one that could hold a special string, is
+    encoded by the library as a whole. ``most`` bounds what is kept; results do not depend on it.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -355,7 +366,7 @@ class WordEncoder:
             spec = json.load(source)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = self._word_pattern(spec)
-        self.words = _Words(self.library.model, most_words)
+        self.chunks = _Chunks(self.library, self.pattern, most)
 
     @staticmethod
     def _word_pattern(spec: dict):
@@ -368,25 +379,13 @@ class WordEncoder:
             return None
         return regex.compile(cuts[0]["pattern"]["Regex"], regex.V0)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if (self.pattern is None or not _PLAIN.fullmatch(text)
                 or any(s in text for s in self.special)):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(
-            map(self.words.__getitem__, self.pattern.findall(text.lower()))))
-
-
-def _encode(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        for batch in in_pieces(batches, 256):
-            data = [
-                np.array([*encoder.encode(text), end_id], "<u4").tobytes()
-                for text in strings(batch.column(1))
-            ]
-            yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())],
-                                  names=["doc_id", "ids"])
-    return run
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 def write_tokens(
@@ -412,9 +411,8 @@ def write_tokens(
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     (
         rows.repartitionByRange(int(shards), order[0]).sortWithinPartitions(*order)
-        .mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary")
-        .write.format("token_blocks").option("block", block).option("percentile", percentile)
-        .mode("append").save(folder)
+        .write.format("token_blocks").option("tokenizer", tokenizer).option("endid", end_id)
+        .option("block", block).option("percentile", percentile).mode("append").save(folder)
     )
 
 
