@@ -119,20 +119,25 @@ def infer(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Calls wait for an answer most of their time, so some run at once; answers are passed on
-        # a few calls at a time, not when a whole batch is done.
+        # once a second, not only when a whole batch is done.
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
+                texts, languages, models = (
+                    batch[c].tolist() for c in ("source_text", "target_language", "model"))
+                answers, start, due = [], 0, time.monotonic() + 1
                 for first in range(0, len(batch), 4 * concurrency):
-                    part = batch.iloc[first:first + 4 * concurrency]
-                    answers = list(pool.map(
-                        call, part["source_text"], part["target_language"], part["model"]))
-                    yield part[
+                    part = slice(first, first + 4 * concurrency)
+                    answers += pool.map(call, texts[part], languages[part], models[part])
+                    if time.monotonic() < due and start + len(answers) < len(batch):
+                        continue
+                    yield batch.iloc[start:start + len(answers)][
                         ["translation_key", "source_hash", "target_language", "model"]
                     ].assign(
                         translated_text=[a[0] for a in answers],
                         error_code=[a[1] for a in answers],
                         attempts=[a[2] for a in answers],
                     )
+                    answers, start, due = [], start + len(answers), time.monotonic() + 1
 
     picked = units.select(
         "translation_key", "source_hash", "source_text", "target_language", "model"

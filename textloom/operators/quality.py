@@ -29,7 +29,11 @@ CURRENCY = (
 )
 _DIGITS = rf"[-+]?{_D}++(?:[.,]{_D}++(?!{_W}))*+"
 NUMBER = rf"(?<!{_W}){_DIGITS}(?:{_S}?%)(?!{_W})|(?<!{_W}){_DIGITS}(?!{_W})"
-LITERAL = rf"(?iu){PLACEHOLDER}|{DATE}|{CURRENCY}|{NUMBER}"
+# The look-ahead passes over the characters with which no literal begins.
+LITERAL = (
+    rf"(?iu)(?=[\[{{%$€£¥+\-\p{{Nd}}]|{CURRENCY_CODES})"
+    rf"(?:{PLACEHOLDER}|{DATE}|{CURRENCY}|{NUMBER})"
+)
 
 
 def without_spaces(col: Column) -> Column:

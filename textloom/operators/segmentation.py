@@ -268,10 +268,11 @@ def _segment_columns(
     id_col: str, text_col: str, fences: bool, keep: tuple[str, ...]
 ) -> tuple[list, list, list]:
     """The three projections of ``segment_markdown``."""
-    document = mask_code_fences(F.col(text_col)) if fences else F.col(text_col)
+    document = F.col(text_col)
+    # Fences are folded once: the units use their argument several times.
+    found = text.let(mask_code_fences(document), _units) if fences else _units(document)
     units = [
-        F.col(id_col).alias("document_id"), *keep,
-        F.posexplode(_units(document)).alias("seq", "u"),
+        F.col(id_col).alias("document_id"), *keep, F.posexplode(found).alias("seq", "u"),
     ]
     raw, is_cell = F.col("u.raw"), F.col("u.column").isNotNull()
     blank_cell = is_cell & text.is_blank(raw)

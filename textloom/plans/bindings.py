@@ -23,11 +23,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than cores, dealt to all cores.
+
+    A file of one row group is read by one task. Larger tables have files and row groups enough
+    and stay where they lie, so that whole texts are never shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if len(df.inputFiles()) >= cores or int(str(size)) > cores * SMALL:
+        return df
+    return df.repartition(cores)
+
+
+#: Bytes per core up to which a table counts as small.
+SMALL = 32 << 20
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """id, text, lang: the corpus as it is."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("id"), "text", "lang"
-    )
+    ))
 
 
 def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +83,7 @@ def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as documents, turns as blocks; system turns stand for blank blocks."""
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations")).select(
         F.col("conv_id").cast("string").alias("document_id"),
         F.col("turn").cast("int").alias("seq"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
@@ -246,7 +263,7 @@ PLAN = {
 }
 
 
-def _targets(targets) -> Column:
+def targets(names) -> Column:
     """(target, translation_key) of a document for every target language."""
     no_terms = F.array().cast("array<string>")
     digest = identity.plan_hash(
@@ -262,22 +279,22 @@ def _targets(targets) -> Column:
                 F.map_from_arrays(no_terms, no_terms), digest,
             ).alias("translation_key"),
         )
-        for t in targets
+        for t in names
     ])
 
 
-def document_keys(spark: SparkSession, sf: str, targets=("de", "uk")) -> DataFrame:
+def document_keys(spark: SparkSession, sf: str, names=("de", "uk")) -> DataFrame:
     """document_id, target, translation_key for every document and target language."""
     docs = documents(spark, sf).select(F.col("id").alias("document_id"), "lang")
-    return docs.select("*", F.inline(_targets(targets)))
+    return docs.select("*", F.inline(targets(names)))
 
 
-def keyed_blocks(spark: SparkSession, sf: str, targets=("de", "uk")) -> DataFrame:
+def keyed_blocks(spark: SparkSession, sf: str, names=("de", "uk")) -> DataFrame:
     """Blocks of every document and target with their translation key.
 
     Keys are made per document and travel with its blocks, so no join is needed.
     """
-    docs = documents(spark, sf).withColumn("targets", _targets(targets))
+    docs = documents(spark, sf).withColumn("targets", targets(names))
     cut = segmentation.segment_markdown(docs, fences=False, keep=["lang", "targets"])
     return cut.select(
         "document_id", "lang", "seq", "id", "source_text", "source_hash", F.inline("targets")
@@ -286,7 +303,11 @@ def keyed_blocks(spark: SparkSession, sf: str, targets=("de", "uk")) -> DataFram
 
 def memory(spark: SparkSession, sf: str) -> DataFrame:
     """Results stored earlier: the German side of every even document, first one kept."""
-    done = keyed_blocks(spark, sf, ("de",)).where(F.col("document_id").cast("bigint") % 2 == 0)
+    return stored(keyed_blocks(spark, sf, ("de",)))
+
+
+def stored(keyed: DataFrame) -> DataFrame:
+    done = keyed.where(F.col("document_id").cast("bigint") % 2 == 0)
     return done.groupBy("translation_key", "source_hash").agg(
         F.min(F.concat(F.lit("[de] "), F.col("source_text"))).alias("translated_text")
     )

@@ -59,6 +59,13 @@ def now() -> Column:
 # --- flagship ------------------------------------------------------------------------
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder once, for queries that use it several times."""
+    path = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def no_null(df: DataFrame, *columns: str) -> DataFrame:
     """Whole numbers for reports: -1 stands for none."""
     return df.fillna(-1, list(columns))
@@ -745,9 +752,12 @@ def infer_with_retries(spark, sf):
 def translate_corpus(spark, sf):
     """The life of a job: blocks, chunks, what the memory lacks, requests, results, rebuilt text."""
     docs, model = b.documents(spark, sf), "gpt-4o-mini"
-    keyed = b.keyed_blocks(spark, sf, ("de",))
-    memory = b.memory(spark, sf)
-    blocks = segmentation.segment_markdown(docs, fences=False)
+    targets = docs.withColumn("targets", b.targets(("de",)))
+    blocks = kept(segmentation.segment_markdown(
+        targets, fences=False, keep=["lang", "targets"]), "blocks")
+    keyed = blocks.select("document_id", "lang", "seq", "id", "source_text", "source_hash",
+                          F.inline("targets"))
+    memory = kept(b.stored(keyed), "memory")
     packed = planning.pack_chunks(planning.count_tokens(blocks))
     missing = reuse.misses(keyed, memory).join(
         packed.select("document_id", "seq", "chunk_seq"), ["document_id", "seq"])
@@ -1222,8 +1232,11 @@ def _rebuild_targets(spark, sf):
 
 
 def _rebuilt_blocks(spark, sf):
-    """Markdown blocks with stored translations of every block number not divisible by 4."""
-    blocks = b.markdown_blocks(spark, sf)
+    """Markdown blocks with stored translations of every block number not divisible by 4.
+
+    The corpus is cut once and the blocks are written: they are needed twice.
+    """
+    blocks = kept(b.markdown_blocks(spark, sf).drop("id", "level", "marker"), "blocks")
     keys = _rebuild_targets(spark, sf)
     stored = blocks.where(F.col("seq") % 4 > 0).groupBy("source_hash").agg(
         F.min("source_text").alias("t")
@@ -1311,7 +1324,8 @@ def _literal_texts(spark, sf):
         (k % 9 + 1).cast("string"), F.lit("-11 for $"), (k % 50).cast("string"),
         F.lit(".50 or EUR 80, "), (k % 100).cast("string"), F.lit("% of "), k.cast("string"),
     )
-    padded = b.table(spark, sf, "documents").select(k.alias("pair_id"), pad.alias("source"))
+    padded = b.spread(b.table(spark, sf, "documents").select("doc_id", "text")).select(
+        k.alias("pair_id"), pad.alias("source"))
     return padded.withColumn("translated", F.translate("source", "37$", "48€"))
 
 
