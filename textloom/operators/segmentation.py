@@ -34,19 +34,22 @@ RARE_BREAK = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]\z"
 _FENCE = "struct<open:string,at:int,done:int,spans:array<struct<gap:int,size:int>>>"
 
 
-def _fence_marks(lines: Column) -> Column:
-    """The few lines that begin with a fence run: (number, run, may open, may close)."""
-    def mark(line: Column, i: Column) -> Column:
-        content = line["content"]
-        run = F.regexp_extract(content, FENCE_RUN, 1)
-        info = F.substring(F.ltrim(content, F.lit(" ")), F.length(run) + 1, F.length(content))
-        return F.struct(
-            i.cast("int").alias("at"), run.alias("run"),
-            (run.startswith("~") | ~F.contains(info, F.lit("`"))).alias("opens"),
-            F.regexp_like(content, F.lit(FENCE_CLOSER)).alias("closes"),
-        )
+def fence_mark(content: Column, at: Column) -> Column:
+    """What a line is to fences: (number, run, may open, may close); no run where it is nothing."""
+    run = F.regexp_extract(content, FENCE_RUN, 1)
+    info = F.substring(F.ltrim(content, F.lit(" ")), F.length(run) + 1, F.length(content))
+    return F.struct(
+        at.cast("int").alias("at"), run.alias("run"),
+        (run.startswith("~") | ~F.contains(info, F.lit("`"))).alias("opens"),
+        F.regexp_like(content, F.lit(FENCE_CLOSER)).alias("closes"),
+    )
 
-    return F.filter(F.transform(lines, mark), lambda m: m["run"] != "")
+
+def _fence_marks(lines: Column) -> Column:
+    """The few lines that begin with a fence run."""
+    return F.filter(
+        F.transform(lines, lambda line, i: fence_mark(line["content"], i)),
+        lambda m: m["run"] != "")
 
 
 def _fence_spans(lines: Column) -> Column:
@@ -247,33 +250,26 @@ def _units(document: Column) -> Column:
         ),
     )
     parsed = F.filter(parsed, lambda x: ~text.is_blank(x["content"]))
+    return F.flatten(F.transform(parsed, line_units))
+
+
+def line_units(x: Column) -> Column:
+    """Block candidates of one line that is not blank: (line, content, cells)."""
     none = F.array().cast(f"array<{_UNIT}>")
-    return F.flatten(
-        F.transform(
-            parsed,
-            lambda x: F.when(
-                x["cells"].isNotNull(),
-                F.when(_is_separator(x["cells"]), none).otherwise(_row_units(x)),
-            )
-            .when(
-                may_be_marked(x["content"])
-                & F.regexp_like(x["content"], F.lit(PREFIX_ONLY)), none
-            )
-            .otherwise(F.array(_unit(x["line"], x["content"]))),
+    return (
+        F.when(
+            x["cells"].isNotNull(),
+            F.when(_is_separator(x["cells"]), none).otherwise(_row_units(x)),
         )
+        .when(
+            may_be_marked(x["content"]) & F.regexp_like(x["content"], F.lit(PREFIX_ONLY)), none
+        )
+        .otherwise(F.array(_unit(x["line"], x["content"])))
     )
 
 
-def _segment_columns(
-    id_col: str, text_col: str, fences: bool, keep: tuple[str, ...]
-) -> tuple[list, list, list]:
-    """The three projections of ``segment_markdown``."""
-    document = F.col(text_col)
-    # Fences are folded once: the units use their argument several times.
-    found = text.let(mask_code_fences(document), _units) if fences else _units(document)
-    units = [
-        F.col(id_col).alias("document_id"), *keep, F.posexplode(found).alias("seq", "u"),
-    ]
+def block_columns(keep: Sequence[str]) -> tuple[list, list]:
+    """Two projections from (document_id, seq, u) and the ``keep`` columns to blocks."""
     raw, is_cell = F.col("u.raw"), F.col("u.column").isNotNull()
     blank_cell = is_cell & text.is_blank(raw)
     shaped = [
@@ -316,7 +312,7 @@ def _segment_columns(
             F.when(text.is_blank(body), "").otherwise(text.trailing_space(body)), F.col("tail")
         ).alias("suffix"),
     ]
-    return units, shaped, blocks
+    return shaped, blocks
 
 
 def segment_markdown(
@@ -330,8 +326,13 @@ def segment_markdown(
 
     ``keep`` names document columns to carry to every block, which saves a join later.
     """
-    units, shaped, blocks = _segment_columns(id_col, text_col, fences, tuple(keep))
-    return docs.select(*units).select(*shaped).select(*blocks)
+    document = F.col(text_col)
+    # Fences are folded once: the units use their argument several times.
+    found = text.let(mask_code_fences(document), _units) if fences else _units(document)
+    shaped, blocks = block_columns(keep)
+    return docs.select(
+        F.col(id_col).alias("document_id"), *keep, F.posexplode(found).alias("seq", "u"),
+    ).select(*shaped).select(*blocks)
 
 
 def assign_block_ids(units: DataFrame) -> DataFrame:

@@ -30,14 +30,14 @@ def spread(df: DataFrame) -> DataFrame:
     and stay where they lie, so that whole texts are never shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if len(df.inputFiles()) >= cores or int(str(size)) > cores * SMALL:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(df.inputFiles()) >= cores or not TINY < size <= cores * SMALL:
         return df
     return df.repartition(cores)
 
 
-#: Bytes per core up to which a table counts as small.
-SMALL = 32 << 20
+#: Bytes up to which a table is one task's work, and bytes per core up to which it is small.
+TINY, SMALL = 1 << 20, 32 << 20
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,6 +131,18 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CAST(conv_id AS VARCHAR) AS document_id, turn AS seq, conv_id AS k,
           conv_id || ':' || turn AS id, CASE WHEN role = 'system' THEN '' ELSE text END
           AS source_text FROM conversations"""),
+    "keyword_table": ((), """
+        SELECT DISTINCT trim(w) AS w, replace(lower(trim(w)), 'ß', 'ss') AS l FROM (
+          SELECT unnest(list_append(list_filter(s, lambda x: length(x) >= 8),
+                   array_to_string(s[1:6], ' '))) AS w
+          FROM (SELECT string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS s FROM benchmark))
+        WHERE length(trim(w)) BETWEEN 1 AND 200"""),
+    "turn_batch": (("turns",), """
+        SELECT id, seq, source_text, sha256(source_text) AS h FROM turns"""),
+    "turn_memory": (("turn_batch", "blocks"), """
+        SELECT h, min('[de] ' || source_text) AS t FROM (
+          SELECT source_hash AS h, source_text FROM blocks
+          UNION ALL SELECT h, source_text FROM turn_batch WHERE seq = 0) GROUP BY h"""),
     "analyses": ((), """
         SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id AS k, lang AS source_language,
           'general' AS domain, CASE WHEN toxic = 1 THEN 'informal' ELSE 'neutral' END AS register,
@@ -566,6 +578,11 @@ RAW: dict[str, str] = {
         SELECT document_id, seq, w AS keyword, source_text AS snippet
         FROM blocks, (VALUES ('The'), ('STRASSE'), ('tion.')) AS k(w)
         WHERE instr(replace(lower(source_text), 'ß', 'ss'), lower(w)) > 0""",
+    "search_keywords": """
+        SELECT document_id, seq, w AS keyword, unnest(list_filter(
+          range(1, length(f) - length(l) + 2), lambda i: substr(f, i, length(l)) = l)) AS position
+        FROM (SELECT document_id, seq, replace(lower(source_text), 'ß', 'ss') AS f FROM blocks)
+        JOIN keyword_table ON contains(f, l)""",
     "bounded_payload": """
         SELECT document_id, payload_no, entries, CAST(length(p) AS BIGINT) AS chars,
           sha256(p) AS payload_hash FROM (
@@ -633,6 +650,12 @@ RAW: dict[str, str] = {
     "lookup": """
         SELECT document_id, target, seq, translated_text FROM keyed
         LEFT JOIN memory USING (translation_key, source_hash)""",
+    "lookup_bucketed": """
+        SELECT id, t AS translated_text FROM turn_batch LEFT JOIN turn_memory USING (h)""",
+    "lookup_cut": """
+        SELECT id, t AS translated_text FROM turn_batch LEFT JOIN turn_memory USING (h)""",
+    "misses_cut": """
+        SELECT id, h AS source_hash FROM turn_batch WHERE h NOT IN (SELECT h FROM turn_memory)""",
     "misses": "SELECT document_id, target, seq, source_hash FROM missing",
     "distinct_units": """
         SELECT translation_key, source_hash, min(source_text) AS source_text, count(*) AS blocks
@@ -1010,6 +1033,8 @@ RAW: dict[str, str] = {
     "incremental_translate": """
         SELECT DISTINCT source_hash, '[de] ' || source_text AS translated_text FROM blocks""",
 }
+RAW["mask_fence_lines"] = RAW["mask_code_fences"]
+RAW["segment_lines"] = RAW["segment_markdown"]
 ORACLE: dict[str, str] = {}
 
 

@@ -13,6 +13,9 @@ from textloom.functions.ordered import latest
 from textloom.operators import (
     costs,
     inference,
+    keywords,
+    large_memory,
+    line_rows,
     planning,
     profiling,
     quality,
@@ -261,6 +264,23 @@ def segment_markdown(spark, sf):
     return no_null(b.markdown_blocks(spark, sf), "level", "column", "columns")
 
 
+def _markdown_lines(spark, sf):
+    """Markdown documents as rows of lines."""
+    return segmentation.explode_lines(b.markdown_documents(spark, sf))
+
+
+@query
+def mask_fence_lines(spark, sf):
+    return line_rows.mask_fence_lines(_markdown_lines(spark, sf)).where(
+        F.col("content") != "").select("document_id", "line", "content")
+
+
+@query
+def segment_lines(spark, sf):
+    return no_null(line_rows.segment_lines(_markdown_lines(spark, sf)),
+                   "level", "column", "columns")
+
+
 @query
 def assign_block_ids(spark, sf):
     """Numbering of units that arrive as rows instead of whole documents."""
@@ -387,6 +407,20 @@ def search_blocks(spark, sf):
     return profiling.search_blocks(b.blocks(spark, sf), KEYWORDS)
 
 
+def _keyword_table(spark, sf):
+    """Long words and first six words of every benchmark item."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    found = F.concat(F.filter(words, lambda w: F.length(w) >= 8),
+                     F.array(F.array_join(F.slice(words, 1, 6), " ")))
+    return b.table(spark, sf, "benchmark").select(F.explode(found).alias("keyword"))
+
+
+@query
+def search_keywords(spark, sf):
+    """All places of some hundred keywords in all blocks."""
+    return keywords.search_keywords(b.blocks(spark, sf), _keyword_table(spark, sf))
+
+
 @query
 def bounded_payload(spark, sf):
     entry = F.struct("seq", "source_text")
@@ -599,6 +633,42 @@ def misses(spark, sf):
     )
 
 
+def _turn_batch(spark, sf):
+    """Conversation turns as a batch of blocks, and a memory of document lines and first turns."""
+    turns = b.turns(spark, sf).select(
+        "id", "seq", F.lit("k").alias("translation_key"), "source_text",
+        identity.sha256(F.col("source_text")).alias("source_hash"))
+    lines = b.blocks(spark, sf).select("source_text", "source_hash")
+    stored = lines.unionByName(
+        turns.where(F.col("seq") == 0).select("source_text", "source_hash"))
+    memory = stored.groupBy(F.lit("k").alias("translation_key"), "source_hash").agg(
+        F.min(F.concat(F.lit("[de] "), "source_text")).alias("translated_text"))
+    return turns, memory
+
+
+@query
+def lookup_bucketed(spark, sf):
+    """Turns looked up in a memory that lies in buckets of its key."""
+    turns, memory = _turn_batch(spark, sf)
+    path = shared_folder(spark, "bucketed")
+    name = "memory_" + path.rsplit("-", 1)[-1].replace("_", "")
+    stored = large_memory.write_bucketed(memory, name, f"{path}/rows", buckets=16)
+    return large_memory.lookup_bucketed(turns, stored).select("id", "translated_text")
+
+
+@query
+def lookup_cut(spark, sf):
+    """Turns looked up in a memory that a Bloom filter of their keys has cut."""
+    turns, memory = _turn_batch(spark, sf)
+    return large_memory.lookup_cut(turns, memory).select("id", "translated_text")
+
+
+@query
+def misses_cut(spark, sf):
+    turns, memory = _turn_batch(spark, sf)
+    return large_memory.misses_cut(turns, memory).select("id", "source_hash")
+
+
 @query
 def distinct_units(spark, sf):
     return reuse.new_units(b.keyed_blocks(spark, sf), b.memory(spark, sf))
