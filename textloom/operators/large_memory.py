@@ -9,12 +9,12 @@ others, so that the shuffle carries about as many rows as the batch has keys.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +71,8 @@ class KeyFilter:
         return out
 
 
-def _hashes():
-    return F.xxhash64(*KEY, F.lit(0)), F.xxhash64(*KEY, F.lit(1))
+def _hashes(columns: Sequence[str]) -> tuple[Column, Column]:
+    return F.xxhash64(*columns, F.lit(0)), F.xxhash64(*columns, F.lit(1))
 
 
 def _positions(bits: int, hashes: int):
@@ -95,7 +95,8 @@ def _positions(bits: int, hashes: int):
 
 
 def key_filter(
-    keys: DataFrame, false_share: float = 0.01, most_bytes: int = 64 << 20
+    keys: DataFrame, false_share: float = 0.01, most_bytes: int = 64 << 20,
+    columns: Sequence[str] = KEY,
 ) -> KeyFilter | None:
     """A filter that passes every key of ``keys`` and about ``false_share`` of all others.
 
@@ -104,7 +105,7 @@ def key_filter(
     """
     if not 0 < false_share < 1:
         raise ValueError("a share lies between 0 and 1")
-    a, b = _hashes()
+    a, b = _hashes(columns)
     hashed = keys.select(a.alias("a"), b.alias("b"))
     count = max(1, int(1.05 * hashed.agg(F.approx_count_distinct("a", 0.02)).first()[0]))
     bits = 64 * math.ceil(-count * math.log(false_share) / math.log(2) ** 2 / 64)
@@ -118,16 +119,22 @@ def key_filter(
     return KeyFilter(words, bits, hashes)
 
 
-def cut_memory(memory: DataFrame, passing: KeyFilter) -> DataFrame:
-    """Rows of ``memory`` whose key may be in the filter; only two numbers a row leave the JVM."""
-    shared = memory.sparkSession.sparkContext.broadcast(
-        (passing.words, passing.bits, passing.hashes))
+def may_match(
+    spark: SparkSession, passing: KeyFilter, columns: Sequence[str] = KEY
+) -> Column:
+    """Whether a row's key may be in the filter; only two numbers a row leave the JVM."""
+    shared = spark.sparkContext.broadcast((passing.words, passing.bits, passing.hashes))
 
     @F.pandas_udf(T.BooleanType())
-    def may_match(a: pd.Series, b: pd.Series) -> pd.Series:
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(KeyFilter(*shared.value).may_hold(a.to_numpy(), b.to_numpy()))
 
-    return memory.where(may_match(*_hashes()))
+    return held(*_hashes(columns))
+
+
+def cut_memory(memory: DataFrame, passing: KeyFilter) -> DataFrame:
+    """Rows of ``memory`` whose key may be in the filter."""
+    return memory.where(may_match(memory.sparkSession, passing))
 
 
 def lookup_cut(blocks: DataFrame, memory: DataFrame, **options) -> DataFrame:
