@@ -34,5 +34,5 @@ def test_stages(spark, sf):
 def test_one_query_per_operator():
     names = [n for n in contract.queries() if n.startswith("op")]
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.REGISTRY)
-    assert numbers == list(range(1, 11)) and set(queries.REGISTRY) <= set(names)
+    assert numbers == list(range(1, 14)) and set(queries.REGISTRY) <= set(names)
     assert set(queries.ORACLE) < set(queries.REGISTRY) and "pipeline" in contract.queries()

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import ASCII_SPACE, written
+from textloom.operators.large_memory import key_filter, may_match
 
 _SLOTS = 4
 _MAX_KICKS = 200
@@ -278,10 +279,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were.
 
-    Rows are found again by digest, length and id; of rows equal in all three, one stays.
+    Rows are found again by digest, length and id; of rows equal in all three, one stays. Rows
+    whose digest is certainly not repeated, by a Bloom filter of the repeated ones, stay where they
+    lie; only the others are joined.
     """
     digests = written(row_digests(docs, id_col, text_col), "digests")
-    groups = live_groups(digests)
+    groups = written(live_groups(digests), "groups")
     # How many rows share the id and length of the one that stays: more than one is rare.
     ties = (
         digests.groupBy("digest", "points", "id").count().where("count > 1")
@@ -302,6 +305,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_n_points"),
         F.col(f"`{id_col}`").cast("long").alias("_id"),
     )
+    repeated = key_filter(groups.where("copies > 1"), columns=["digest"])
+    alone = None
+    if repeated is not None:
+        rows = rows.withColumn("digest", F.col("_text_digest")).withColumn(
+            "_maybe", may_match(docs.sparkSession, repeated, ["digest"])).drop("digest")
+        alone, rows = rows.where("NOT _maybe").select("_doc.*"), rows.where("_maybe")
     stay = rows.join(
         best,
         (F.col("_text_digest") == F.col("_digest")) & (F.col("_n_points") == F.col("_points"))
@@ -309,4 +318,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     single = stay.where(~F.col("_tied")).select("_doc")
     tied = stay.where("_tied").dropDuplicates(["_text_digest"]).select("_doc")
-    return single.unionByName(tied).select("_doc.*")
+    stayed = single.unionByName(tied).select("_doc.*")
+    return stayed if alone is None else alone.unionByName(stayed)

@@ -265,103 +265,163 @@ def drop_near_copies(
 
 # ---- near copies by similarity of word shingles
 
-#: Fixed values of the search by similarity: keys per text, smallest hashes per key, the distance of
-#: fingerprints beyond which a candidate is not read, and the parts a hot text is compared in.
-BANDS, BAND_ROWS, PRINT_LIMIT, PARTS = 30, 5, 24, 32
+#: Fixed values of the search by similarity: keys per text and smallest hashes per key, bits of a
+#: sketch, and how many of them texts of similarity 0.8 share but for one pair in 100,000.
+BANDS, BAND_ROWS, SKETCH_BITS, LEAST_EQUAL = 30, 5, 128, 101
+#: Rows up to which a bucket is compared in place, documents and bytes of a part of a cloud.
+SMALL_BUCKET, PART_ROWS, PART_BYTES = 256, 2048, 32 << 20
 
 _FACTORS = np.random.default_rng(20_240_301).integers(
     0, 1 << 63, (4, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of a set of shingle hashes: each of ``BAND_ROWS`` smallest values under own mixings.
-
-    Sets of Jaccard similarity J share a given key with probability J ** BAND_ROWS, so at 0.8 all
-    30 keys of a pair differ for one pair in 150,000, above that for fewer.
-    """
+def _least_values(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of a set of shingle hashes under each of 150 mixings."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), 256):  # bounded, also for very long texts
         part = hashes[start:start + 256, None]
         mixed = (part ^ part >> np.uint64(31)) * _FACTORS[0] + _FACTORS[1]
         least = np.minimum(least, mixed.min(0))
-    least ^= least >> np.uint64(29)
-    keys = (least * _FACTORS[2]).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
+    return (least ^ least >> np.uint64(29)) * _FACTORS[2]
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingle hashes: each of ``BAND_ROWS`` smallest values.
+
+    Sets of Jaccard similarity J share a given key with probability J ** BAND_ROWS, so at 0.8 all
+    30 keys of a pair differ for one pair in 150,000, above that for fewer.
+    """
+    keys = least.reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
     return (keys ^ keys >> np.uint64(32)) * _FACTORS[3, :BANDS]
 
 
+def sketch_bits(least: np.ndarray) -> np.ndarray:
+    """One bit of each of 128 smallest values, as two words: equal with probability (1 + J) / 2."""
+    return np.packbits((least[:SKETCH_BITS] >> np.uint64(63)).astype(bool)).view("<u8")
+
+
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches):
-            at, prints, sizes, keys = [], [], [], []
+            at, prints, sizes, bits, keys, lengths = [], [], [], [], [], []
             for i, text in enumerate(byte_values(batch.column(1))):
                 hashes = shingle_hashes(text, words)
                 if len(hashes):
                     different = np.unique(hashes)
+                    least = _least_values(different)
                     at.append(i)
                     prints.append(fingerprint_of(hashes))
                     sizes.append(len(different))
-                    keys.append(band_keys(different))
+                    bits.append(sketch_bits(least))
+                    keys.append(band_keys(least))
+                    lengths.append(len(text))
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            two = np.array(bits, np.uint64).reshape(-1, 2)
             yield pa.record_batch([
                 batch.column(0).take(pa.array(at, pa.int64())),
                 pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                pa.array(two[:, 0].view(np.int64)), pa.array(two[:, 1].view(np.int64)),
                 pa.ListArray.from_arrays(
                     pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS),
                     pa.array(flat.view(np.int64))),
-            ], names=["doc_id", "print", "size", "keys"])
+                pa.array(lengths, pa.int64()),
+            ], names=["doc_id", "print", "size", "b0", "b1", "keys", "bytes"])
     return run
 
 
-def _may_be_similar(prints, sizes, i, j, similarity: float) -> np.ndarray:
-    """Whether texts i and j are worth reading; sizes of similar sets differ by a bounded factor."""
-    return (np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64)) <= PRINT_LIMIT) & (
-        np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
+_SKETCH = ("doc_id long, print long, size long, b0 long, b1 long, keys array<long>, bytes long")
 
 
-def _to_first(similarity: float):
-    """From rows sorted by key and document: each document with the first one of its bucket."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_runs(batches, "key"):
-            starts, ends = runs_of(table.column("key").to_numpy())
-            ids, prints, sizes = (table.column(c).to_numpy() for c in ("doc_id", "print", "size"))
-            first, every = np.repeat(starts, ends - starts), np.arange(len(ids))
-            use = (ids[first] != ids) & _may_be_similar(prints, sizes, first, every, similarity)
-            bits = np.bitwise_count((prints[first] ^ prints).view(np.uint64)).astype(np.int32)
-            yield pa.record_batch([pa.array(ids[first][use]), pa.array(ids[use]),
-                                   pa.array(bits[use])], names=["a", "b", "bits"])
-    return run
+class _Sketches:
+    """Sketches of some documents; ``likely`` tells which of them may be similar to one."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        self.ids, size, b0, b1 = (
+            table.column(c).to_numpy() for c in ("doc_id", "size", "b0", "b1"))
+        self.size, self.b0, self.b1 = size, b0.view(np.uint64), b1.view(np.uint64)
+        self.similarity = similarity
 
+    def likely(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of similar sets differ by a bounded factor, and so do their sketches."""
+        differ = (np.bitwise_count(self.b0[others] ^ self.b0[one]).astype(np.int64)
+                  + np.bitwise_count(self.b1[others] ^ self.b1[one]))
+        small = np.minimum(self.size[others], self.size[one])
+        return others[(differ <= SKETCH_BITS - LEAST_EQUAL) & (
+            small >= self.similarity * np.maximum(self.size[others], self.size[one]))]
 
-def _across_parts(similarity: float):
-    """From rows sorted by key and part: candidates of one bucket that are not yet connected."""
+
+def _spanning(rows: np.ndarray, reach) -> list[tuple[int, int]]:
+    """Links of a spanning forest of ``rows``; ``reach(i, pool)`` gives what i links to.
+
+    Breadth first: what is reached leaves the pool, so a cloud of near copies soon empties it.
+    """
+    links, waiting, pool = [], [], rows
+    while len(pool):
+        if waiting:
+            at = waiting.pop()
+        else:
+            at, pool = pool[0], pool[1:]
+        reached = reach(at, pool)
+        if len(reached):
+            links += [(at, other) for other in reached]
+            waiting.extend(reached)
+            pool = pool[~np.isin(pool, reached)]
+    return links
+
+
+def _bucket_clouds(similarity: float):
+    """From rows sorted by key: links that hold together what may be similar in a bucket.
+
+    A small bucket is compared in place. Of a larger one every row is linked to the first, as it
+    streams past, so no bucket is ever held as a whole.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_runs(batches, "key"):
+        held, key, first = None, None, None  # the open bucket: its rows, or its first document
+
+        def close(table: pa.Table) -> list[tuple[int, int]]:
+            sketches, found = _Sketches(table, similarity), []
             starts, ends = runs_of(table.column("key").to_numpy())
-            ids, prints, sizes, parts = (
-                table.column(c).to_numpy() for c in ("doc_id", "print", "size", "part"))
-            left, right, n = [], [], 0
             for s, e in zip(starts, ends, strict=True):
-                if parts[s] == parts[e - 1]:
-                    continue
-                for first, stop in zip(*(x + s for x in runs_of(parts[s:e])), strict=True):
-                    for i in range(first, stop):
-                        near = stop + np.flatnonzero(_may_be_similar(
-                            prints, sizes, i, slice(stop, e), similarity))
-                        left.append(np.full(len(near), ids[i]))
-                        right.append(ids[near])
-                        n += len(near)
-                        if n > 1 << 16:
-                            yield _links(left, right)
-                            left, right, n = [], [], 0
-            if n:
-                yield _links(left, right)
+                if e - s > SMALL_BUCKET:
+                    found += [(sketches.ids[s], other) for other in sketches.ids[s + 1:e]]
+                elif e - s > 1:
+                    found += [(sketches.ids[i], sketches.ids[j]) for i, j in _spanning(
+                        np.arange(s, e), sketches.likely)]
+            return found
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, keys = [], batch.column("key").to_numpy()
+            start = 0
+            if first is not None:  # the rest of a large bucket
+                more = int(np.searchsorted(keys != key, True)) if (keys != key).any() else len(keys)
+                found += [(first, other) for other in batch.column("doc_id").to_numpy()[:more]]
+                start = more
+                first = first if more == len(keys) else None
+            if start < len(keys):
+                rest = pa.Table.from_batches([batch.slice(start)])
+                table = rest if held is None else pa.concat_tables([held, rest])
+                starts, _ = runs_of(table.column("key").to_numpy())
+                open_at = int(starts[-1])
+                found += close(table.slice(0, open_at))
+                held = table.slice(open_at)
+                key = held.column("key")[0].as_py()
+                if held.num_rows > SMALL_BUCKET:
+                    found += close(held)
+                    first, held = held.column("doc_id")[0].as_py(), None
+            yield _links(found)
+        if held is not None:
+            yield _links(close(held))
     return run
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(left), np.concatenate(right)
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.record_batch(
-        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        [pa.array(pairs.min(1)), pa.array(pairs.max(1))] if len(pairs) else
+        [pa.array([], pa.int64())] * 2, names=["a", "b"])
 
 
 def shingle_set(text: bytes, words: int) -> frozenset[tuple[bytes, ...]]:
@@ -370,44 +430,49 @@ def shingle_set(text: bytes, words: int) -> frozenset[tuple[bytes, ...]]:
 
 
 def _similar(words: int, similarity: float):
-    """From rows sorted by a, part and b (null for the text of a itself): the similar pairs."""
+    """From rows sorted by cloud and part: links that connect all similar documents of a part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            left, right = [], []
-            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
-            for i, text in enumerate(byte_values(batch.column("text"))):
-                if (a[i], part[i]) != now:
-                    now, held = (a[i], part[i]), []
-                own = shingle_set(text, words)
-                if b[i] is None:
-                    held.append(own)
-                    continue
-                for other in held:
-                    both = len(own & other)
-                    if both and both >= similarity * (len(own) + len(other) - both):
-                        left.append(a[i])
-                        right.append(b[i])
-                        break
-            yield pa.record_batch(
-                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        for table in key_runs(batches, "part"):
+            for s, e in zip(*runs_of(table.column("part").to_numpy()), strict=True):
+                rows = table.slice(s, e - s)
+                sketches = _Sketches(rows, similarity)
+                sets = [shingle_set(t, words) for t in byte_values(rows.column("text"))]
+
+                def reach(at, pool, sets=sets, sketches=sketches):
+                    own, out = sets[at], []
+                    for other in sketches.likely(at, pool):
+                        both = len(own & sets[other])
+                        if both and both >= similarity * (len(own) + len(sets[other]) - both):
+                            out.append(other)
+                    return np.array(out, np.int64)
+
+                yield _links([(sketches.ids[i], sketches.ids[j])
+                              for i, j in _spanning(np.arange(e - s), reach)])
     return run
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (doc_id, text) have that Jaccard similarity or more.
+def candidate_links(sketches: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) after which all documents that may be similar are connected.
 
-    A text with many partners is compared in several tasks.
+    Golay keys connect documents whose fingerprints differ in at most four bits, which holds the
+    clouds of near copies together; keys of smallest hashes (`band_keys`) find the rest.
     """
-    pairs = written(pairs.select("a", "b", F.pmod(F.hash("b"), F.lit(PARTS)).alias("part")), "pairs")
-    own = pairs.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select(
-        "a", "part", F.lit(None).cast("long").alias("b"), "text")
-    others = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
-    return (
-        own.unionByName(others).repartition("a", "part")
-        .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        .mapInArrow(_similar(words, similarity), "a long, b long")
+    classes = written(sketches.groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
+    equal = sketches.join(classes, "print").select(
+        F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = print_links(classes.select("print"))
+    name = classes.select(F.col("print"), "first")
+    near = (
+        near.join(name.select(F.col("print").alias("a"), F.col("first").alias("x")), "a")
+        .join(name.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    bands = (
+        sketches.select(F.explode("keys").alias("key"), "doc_id", "size", "b0", "b1")
+        .repartition("key").sortWithinPartitions("key", "doc_id")
+        .mapInArrow(_bucket_clouds(similarity), "a long, b long")
     )
+    return equal.unionByName(near).unionByName(bands).where("a != b").distinct()
 
 
 def similar_links(
@@ -416,32 +481,34 @@ def similar_links(
 ) -> DataFrame:
     """Links (a, b) that connect all documents whose sets of word shingles are that similar.
 
-    Every link is checked on the texts. First each document is compared with its closest partner
-    among the first documents of its buckets, which connects clouds of near copies by one
-    comparison per document; then all candidates that are still unconnected are compared.
+    Candidates (`candidate_links`) only say which documents form a cloud; every link is checked on
+    the texts. A cloud's texts meet in one task as far as they are few; a larger cloud is cut into
+    parts by a hash of the id, and each two parts meet in a task of their own. Tasks give back
+    spanning forests, never pairs of a group.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketches = written(texts.mapInArrow(
-        _sketches(words), "doc_id long, print long, size long, keys array<long>"), "sketches")
-    rows = sketches.select(F.explode("keys").alias("key"), "doc_id", "print", "size")
-    closest = (
-        rows.repartition("key").sortWithinPartitions("key", "doc_id")
-        .mapInArrow(_to_first(similarity), "a long, b long, bits int")
-        .groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
-    )
-    first = written(similar_pairs(closest, texts, words, similarity), "similar")
-    parts = smallest_reachable(first)
-    open_ = (
-        sketches.join(parts, F.col("doc_id") == F.col("node"), "left")
-        .select(F.explode("keys").alias("key"), "doc_id", "print", "size",
-                F.coalesce("component", "doc_id").alias("part"))
-        .repartition("key").sortWithinPartitions("key", "part")
-        .mapInArrow(_across_parts(similarity), "a long, b long").distinct()
+    sketches = written(texts.mapInArrow(_sketches(words), _SKETCH), "sketches")
+    clouds = smallest_reachable(candidate_links(sketches, similarity))
+    rows = written(
+        sketches.join(clouds, F.col("doc_id") == F.col("node"))
+        .select("component", "doc_id", "size", "b0", "b1", "bytes"), "clouds")
+    parts = rows.groupBy("component").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("bytes") / PART_BYTES), F.lit(1),
+    ).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    # The number of a pair of parts, lower part first; a cloud of one part has one.
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda p: F.xxhash64("component", F.least(own, p), F.greatest(own, p)))
+    tasks = rows.join(parts, "component").select(
+        F.explode(F.array_distinct(pair)).alias("part"), "doc_id", "size", "b0", "b1")
+    return (
+        tasks.join(texts, "doc_id").repartition("part").sortWithinPartitions("part", "doc_id")
+        .mapInArrow(_similar(words, similarity), "a long, b long")
     )
-    return first.unionByName(similar_pairs(open_, texts, words, similarity))
 
 
 def drop_similar(
