@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import bounded_batches, byte_values, in_pieces, key_runs, runs_of, written
 from textloom.llm.components import smallest_reachable
+from textloom.operators.large_memory import key_filter, may_match
 
 #: The generator polynomial of the Golay code (degree 11) and the segment widths.
 GENERATOR = 0b101011100011
@@ -505,6 +506,10 @@ def similar_links(
         lambda p: F.xxhash64("component", F.least(own, p), F.greatest(own, p)))
     tasks = rows.join(parts, "component").select(
         F.explode(F.array_distinct(pair)).alias("part"), "doc_id", "size", "b0", "b1")
+    # Texts outside all clouds stay where they lie.
+    members = key_filter(rows, columns=["doc_id"])
+    if members is not None:
+        texts = texts.where(may_match(docs.sparkSession, members, ["doc_id"]))
     return (
         tasks.join(texts, "doc_id").repartition("part").sortWithinPartitions("part", "doc_id")
         .mapInArrow(_similar(words, similarity), "a long, b long")
@@ -521,7 +526,13 @@ def drop_similar(
     ids stay or go together.
     """
     parts = smallest_reachable(similar_links(docs, id_col, text_col, words, similarity))
-    drop = parts.where("node != component").select(F.col("node").alias("_drop"))
+    drop = written(parts.where("node != component").select(F.col("node").alias("_drop")), "drop")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
                        F.col(f"`{id_col}`").cast("long").alias("_id"))
-    return rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_doc.*")
+    copies = key_filter(drop, columns=["_drop"])
+    alone = None
+    if copies is not None:  # only rows that may be copies are moved
+        rows = rows.withColumn("_maybe", may_match(docs.sparkSession, copies, ["_id"]))
+        alone, rows = rows.where("NOT _maybe").select("_doc.*"), rows.where("_maybe")
+    rows = rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_doc.*")
+    return rows if alone is None else alone.unionByName(rows)
