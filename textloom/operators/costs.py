@@ -210,6 +210,21 @@ def rollup_jobs(jobs: DataFrame, chunks: DataFrame, attempts: DataFrame) -> Data
     )
 
 
+def usage_rollup(jobs: DataFrame, columns: Sequence[str] = ("model", "target_language", "status"),
+                 measures: Sequence[str] = ("cost_usd",)) -> DataFrame:
+    """Counts and sums of jobs for every prefix of ``columns`` at once, the empty one included.
+
+    ``level`` is the number of columns that a row is grouped by; the others are null in it, which a
+    null of their own does not count as. One shuffle serves all levels.
+    """
+    names = list(columns)
+    sets = [names[:n] for n in range(len(names), -1, -1)]
+    kept = sum((F.lit(1) - F.grouping(c) for c in names), F.lit(0))
+    return jobs.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(
+        kept.cast("int").alias("level"), F.count(F.lit(1)).alias("jobs"),
+        *[F.sum(m).alias(m) for m in measures])
+
+
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, percent: int, name: str
 ) -> DataFrame:

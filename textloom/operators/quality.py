@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,10 +58,10 @@ def char_ngrams(df: DataFrame, column: str, max_order: int = 6) -> DataFrame:
     )
 
 
-def _match_rates(
+def _gram_counts(
     candidates: Sequence[str], references: Sequence[str], max_order: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Mean precision and recall over the orders both sides reach, per pair.
+) -> np.ndarray:
+    """Grams matched, of the candidate and of the reference: (3, order, pair).
 
     All pairs are counted together: a gram is numbered by (gram one shorter, next character),
     so one sort per order counts every gram of every pair.
@@ -74,7 +75,7 @@ def _match_rates(
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
     gram = owner % max(count, 1)
     start = np.arange(len(codes))
-    precision, recall, orders = np.zeros(count), np.zeros(count), np.zeros(count)
+    counts = np.zeros((3, max_order, count))
     for order in range(1, max_order + 1):
         fits = left[start] >= order
         start, gram = start[fits], gram[fits]
@@ -87,15 +88,20 @@ def _match_rates(
         mine = np.bincount(gram[side == 0], minlength=len(first))
         theirs = np.bincount(gram[side == 1], minlength=len(first))
         pair = owner[start[first]] % count
-        matched = np.bincount(pair, np.minimum(mine, theirs), minlength=count)
-        have = np.bincount(pair, mine, minlength=count)
-        want = np.bincount(pair, theirs, minlength=count)
-        both = (have > 0) & (want > 0)
-        precision[both] += matched[both] / have[both]
-        recall[both] += matched[both] / want[both]
-        orders += both
-    known = np.maximum(orders, 1)
-    return precision / known, recall / known
+        for i, grams in enumerate((np.minimum(mine, theirs), mine, theirs)):
+            counts[i, order - 1] = np.bincount(pair, grams, minlength=count)
+    return counts
+
+
+def _match_rates(
+    candidates: Sequence[str], references: Sequence[str], max_order: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean precision and recall over the orders both sides reach, per pair."""
+    matched, have, want = _gram_counts(candidates, references, max_order)
+    both = (have > 0) & (want > 0)
+    known = np.maximum(both.sum(0), 1)
+    return (np.divide(matched, have, out=np.zeros_like(have), where=both).sum(0) / known,
+            np.divide(matched, want, out=np.zeros_like(want), where=both).sum(0) / known)
 
 
 _SLICE_CHARS = 1_000_000
@@ -132,6 +138,107 @@ def chrf(pairs: DataFrame, beta: float = 2, max_order: int = 6) -> DataFrame:
     return pairs.select("pair_id", score(side("candidate"), side("reference")).alias("chrf"))
 
 
+# --- scores of whole corpora ----------------------------------------------------------
+
+#: Chances of 0, 1, 2, .. draws of a pair in a resample: the Poisson distribution with mean 1.
+_DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+#: Weights of up to that many pairs are held at once.
+_WEIGHED = 4096
+
+
+def resample_weights(hashes: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each pair is drawn in each resample: (pair, resample).
+
+    Drawn from the pair's hash, so a pair weighs the same for every model and in every task.
+    """
+    x = hashes.astype(np.int64).view(np.uint64)[:, None] + (
+        np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    uniform = ((x ^ x >> np.uint64(31)) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(_DRAWS, uniform, side="right")
+
+
+def _corpus_counts(max_order: int, resamples: int):
+    """Per group and resample (0 is the corpus itself) the summed gram counts of a task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, len(batch), _WEIGHED):
+                part = batch.iloc[start:start + _WEIGHED]
+                counts = _gram_counts(
+                    part["candidate"].tolist(), part["reference"].tolist(), max_order)
+                counts = counts.reshape(3 * max_order, -1)
+                weights = np.ones((len(part), 1 + resamples))
+                weights[:, 1:] = resample_weights(part["hash"].to_numpy(), resamples)
+                for group, rows in part.reset_index(drop=True).groupby("model").groups.items():
+                    at = rows.to_numpy()
+                    sums[group] = sums.get(group, 0) + weights[at].T @ counts[:, at].T
+        for group, table in sums.items():
+            yield pd.DataFrame({
+                "model": group, "resample": np.arange(1 + resamples), "counts": list(table)})
+    return run
+
+
+def corpus_chrf(
+    pairs: DataFrame, beta: float = 2, max_order: int = 6, resamples: int = 0
+) -> DataFrame:
+    """Score of a model's whole output: (model, resample, chrf); resample 0 is the output itself.
+
+    ``pairs`` has model, pair_id, candidate and reference. Gram counts of all pairs are summed
+    before precision and recall are taken, so long pairs weigh more. Further resamples draw every
+    pair a Poisson number of times, the same one for all models. All of it takes one pass; a task
+    hands on one row per model and resample. Null texts count as empty; rows without a model are
+    left out.
+    """
+    side = {n: F.coalesce(without_spaces(F.col(n)), F.lit("")).alias(n)
+            for n in ("candidate", "reference")}
+    summed = pairs.where(F.col("model").isNotNull()).select(
+        F.col("model").cast("string").alias("model"), F.xxhash64("pair_id").alias("hash"),
+        *side.values(),
+    ).mapInPandas(
+        _corpus_counts(max_order, resamples), "model string, resample int, counts array<double>")
+    numbered = summed.select("model", "resample", F.posexplode("counts").alias("at", "n")).groupBy(
+        "model", "resample", "at").agg(F.sum("n").alias("n"))
+    orders = numbered.groupBy(
+        "model", "resample", F.pmod("at", F.lit(max_order)).alias("order")).agg(*[
+            F.sum(F.when(F.floor(F.col("at") / max_order) == i, F.col("n"))).alias(name)
+            for i, name in enumerate(("matched", "have", "want"))])
+    both = (F.col("have") > 0) & (F.col("want") > 0)
+    rates = orders.groupBy("model", "resample").agg(
+        F.avg(F.when(both, F.col("matched") / F.col("have"))).alias("p"),
+        F.avg(F.when(both, F.col("matched") / F.col("want"))).alias("q"))
+    weight = float(beta) ** 2
+    bottom = weight * F.col("p") + F.col("q")
+    return rates.select("model", "resample", F.coalesce(F.when(
+        bottom > 0, 100.0 * (1 + weight) * F.col("p") * F.col("q") / bottom), F.lit(0.0),
+    ).alias("chrf"))
+
+
+def chrf_difference(
+    pairs: DataFrame, model: str, other: str, resamples: int = 200, level: float = 0.95, **options
+) -> DataFrame:
+    """How much better ``model`` scores than ``other``: (difference, low, high, better_share).
+
+    ``low`` and ``high`` hold ``level`` of the differences of paired resamples between them, by
+    nearest rank; ``better_share`` is the share of resamples in which ``model`` is ahead.
+    """
+    scores = corpus_chrf(
+        pairs.where(F.col("model").isin(model, other)), resamples=resamples, **options)
+    paired = scores.groupBy("resample").agg(
+        *[F.max(F.when(F.col("model") == m, F.col("chrf"))).alias(n)
+          for m, n in ((model, "a"), (other, "b"))]
+    ).select("resample", (F.col("a") - F.col("b")).alias("d"))
+    tail = (1 - level) / 2
+    drawn = F.array_sort(F.collect_list(F.when(F.col("resample") > 0, F.col("d"))))  # resamples
+    low, high = max(1, math.ceil(tail * resamples)), math.ceil((1 - tail) * resamples)
+    return paired.agg(
+        F.max(F.when(F.col("resample") == 0, F.col("d"))).alias("difference"),
+        F.get(drawn, F.lit(low - 1)).alias("low"), F.get(drawn, F.lit(high - 1)).alias("high"),
+        F.avg(F.when(F.col("resample") > 0, (F.col("d") > 0).cast("double"))).alias(
+            "better_share"))
+
+
 def literal_category(token: Column) -> Column:
     """Category of a matched literal, in priority order."""
     def whole(pattern: str) -> Column:

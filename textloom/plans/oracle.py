@@ -1019,6 +1019,20 @@ RAW: dict[str, str] = {
         FROM turns t LEFT JOIN (SELECT pair_id, avg(m / c) AS p, avg(m / r) AS q FROM (
             SELECT pair_id, n, sum(least(c, r)) AS m, sum(c) AS c, sum(r) AS r FROM pair_grams
             GROUP BY ALL) WHERE c > 0 AND r > 0 GROUP BY ALL) s ON s.pair_id = t.id""",
+    "usage_rollup": """
+        SELECT model, target_language, status, round(sum(cost_usd), 2) AS cost_usd,
+          count(*) AS jobs, CAST(sum(k % 11) AS BIGINT) AS cache_hit_blocks,
+          CAST(sum(k % 6) AS BIGINT) AS cache_miss_blocks,
+          CAST(3 - grouping(model) - grouping(target_language) - grouping(status) AS BIGINT)
+            AS level
+        FROM jobs GROUP BY ROLLUP (model, target_language, status)""",
+    "model_quality": f"""
+        SELECT model, round(CASE WHEN 4 * p + q > 0 THEN 100.0 * 5 * p * q / (4 * p + q) ELSE 0
+          END, 5) AS chrf FROM (
+          SELECT model, avg(m / c) AS p, avg(m / r) AS q FROM (
+            SELECT model, n, sum(least(c, r)) AS m, sum(c) AS c, sum(r) AS r FROM pair_grams
+            JOIN (SELECT id AS pair_id, {pick(MODELS, "seq % 5")} AS model FROM turns)
+              USING (pair_id) GROUP BY ALL) WHERE c > 0 AND r > 0 GROUP BY ALL)""",
     "job_event_feed": "SELECT job_id, event_id, status, event FROM feed",
     "job_event_stream": "SELECT job_id, event_id, status, event FROM feed",
     "stale_monitor": """

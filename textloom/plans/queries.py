@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from textloom.functions import identity, text
 from textloom.functions.ordered import latest
 from textloom.operators import (
+    changes,
     costs,
     inference,
     keywords,
@@ -761,6 +762,25 @@ def reuse_report(spark, sf):
     )
 
 
+@query
+def block_changes(spark, sf):
+    """Edits of every document: changed, deleted, inserted and exchanged blocks."""
+    blocks = kept(b.blocks(spark, sf).select("document_id", "seq", "source_hash"), "versions")
+    k = F.col("seq")
+    changed = blocks.where(k % 11 != 5).select(
+        "document_id",
+        # Two neighbours change places, and every thirteenth block is followed by a new one.
+        F.inline(F.when(k % 13 == 7, F.array(
+            F.struct((k * 4).alias("seq"), "source_hash"),
+            F.struct((k * 4 + 1).alias("seq"), F.sha2(k.cast("string"), 256).alias("source_hash")),
+        )).otherwise(F.array(F.struct(
+            F.when(k % 17 == 3, k * 4 + 6).otherwise(k * 4).alias("seq"),
+            F.when(k % 7 == 1, F.sha2(F.concat("source_hash", F.lit("!")), 256))
+            .otherwise(F.col("source_hash")).alias("source_hash"))))),
+    )
+    return changes.change_summary(changes.block_changes(blocks, changed))
+
+
 # --- inference -----------------------------------------------------------------------
 
 
@@ -1008,6 +1028,14 @@ def job_measurement(spark, sf):
                    "p95_attempt_latency_ms")
 
 
+@query
+def usage_rollup(spark, sf):
+    """Jobs by model, language and status, by model and language, by model, and in all."""
+    rolled = costs.usage_rollup(
+        b.jobs(spark, sf), measures=("cost_usd", "cache_hit_blocks", "cache_miss_blocks"))
+    return rolled.withColumn("cost_usd", F.round("cost_usd", 2))
+
+
 @query
 def job_latencies(spark, sf):
     return costs.job_latencies(b.chunks(spark, sf), b.attempts(spark, sf))
@@ -1387,6 +1415,32 @@ def chrf(spark, sf):
     return quality.chrf(_pairs(spark, sf)).withColumn("chrf", F.round("chrf", 5))
 
 
+def _model_pairs(spark, sf):
+    """Every turn as the work of one of the models."""
+    turns = b.table(spark, sf, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias(
+            "pair_id"), b.pick(b.MODEL_CASES, F.col("turn") % 5).alias("model"))
+    return _pairs(spark, sf).join(turns, "pair_id")
+
+
+@query
+def model_quality(spark, sf):
+    """Score of each model's whole output."""
+    return quality.corpus_chrf(_model_pairs(spark, sf)).select(
+        "model", F.round("chrf", 5).alias("chrf"))
+
+
+@query
+def model_difference(spark, sf):
+    """Two models on the same turns: how sure the better score is, by paired resamples."""
+    pairs = _pairs(spark, sf)
+    worse = pairs.withColumn("candidate", F.translate("candidate", "st", "ts"))
+    both = pairs.withColumn("model", F.lit("gpt-4o")).unionByName(
+        worse.withColumn("model", F.lit("gpt-4o-mini")))
+    found = quality.chrf_difference(both, "gpt-4o", "gpt-4o-mini")
+    return found.select(*[F.round(c, 5).alias(c) for c in found.columns])
+
+
 def _literal_texts(spark, sf):
     k = F.col("doc_id")
     pad = F.concat(
