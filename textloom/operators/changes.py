@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.ordered import number_rows, span, total_before
+from textloom.session import shared_folder
 
 #: Table cells up to which a gap is compared in full.
 FULL = 4_000_000
@@ -82,9 +83,19 @@ def common_in_order(old: Sequence[str], new: Sequence[str]) -> list[tuple[int, i
     return head + [(start + i, start + j) for i, j in inner] + tail
 
 
-def _rising(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("old_seq")
-    return frame.iloc[longest_rising(frame["new_seq"].tolist())]
+def _rising(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for document, old, new in zip(*(frame[c] for c in ("document_id", "old", "new")), strict=True):
+            rows += [(document, old[i], new[i]) for i in longest_rising(list(new))]
+        yield pd.DataFrame(rows, columns=["document_id", "old_seq", "new_seq"])
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder once, as several later steps read it."""
+    path = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _gap_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,9 +146,12 @@ def block_changes(before: DataFrame, after: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.min("seq").alias(name)).where("n = 1").drop("n")
 
     single = once(old, "old_seq").join(once(new, "new_seq"), ["document_id", "source_hash"])
-    anchors = single.select("document_id", "old_seq", "new_seq").groupBy(
-        "document_id").applyInPandas(_rising, _PAIR)
-    old_rest, new_rest = _with_gap(old, anchors, "old_seq"), _with_gap(new, anchors, "new_seq")
+    in_order = F.array_sort(F.collect_list(F.struct("old_seq", "new_seq")))
+    anchors = _stored(single.groupBy("document_id").agg(in_order.alias("a")).select(
+        "document_id", F.col("a.old_seq").alias("old"), F.col("a.new_seq").alias("new"),
+    ).mapInPandas(_rising, _PAIR), "anchors")
+    old_rest = _stored(_with_gap(old, anchors, "old_seq"), "old")
+    new_rest = _stored(_with_gap(new, anchors, "new_seq"), "new")
 
     # Only texts that both sides of a gap have can be kept in it.
     gap = ["document_id", "gap"]
@@ -150,21 +164,20 @@ def block_changes(before: DataFrame, after: DataFrame) -> DataFrame:
                 *gap, F.transform("r", lambda x: x["source_hash"]).alias(name),
                 F.transform("r", lambda x: x["seq"]).alias(f"{name}_at"))
 
-    inside = gathered(old_rest, "old").join(gathered(new_rest, "new"), gap).mapInPandas(
-        _gap_pairs, _PAIR)
+    inside = _stored(gathered(old_rest, "old").join(gathered(new_rest, "new"), gap).mapInPandas(
+        _gap_pairs, _PAIR), "inside")
     kept = anchors.unionByName(inside)
 
     def rest_of(rest: DataFrame, side: str) -> DataFrame:
         return _unmatched(rest, inside, side)
 
     by_text = ["document_id", "source_hash"]
-    moved = (
+    moved = _stored(
         _numbered(rest_of(old_rest, "old_seq"), by_text)
         .select(*by_text, "nth", F.col("seq").alias("old_seq"))
         .join(_numbered(rest_of(new_rest, "new_seq"), by_text)
               .select(*by_text, "nth", F.col("seq").alias("new_seq")), [*by_text, "nth"])
-        .select("document_id", "old_seq", "new_seq")
-    )
+        .select("document_id", "old_seq", "new_seq"), "moved")
 
     def left_over(rest: DataFrame, side: str) -> DataFrame:
         return _numbered(_unmatched(rest_of(rest, side), moved, side), gap).select(
