@@ -652,3 +652,34 @@ def test_site_templates_are_removed(spark):
     assert got[200, "http://c.org/"] == ("Join us today\nsame\nTold 0 times", 31)
     assert got[300, None] == ("", 0) and got[301, "http://a.org/"] == ("alone", 5)
     assert html_templates.extract_main_text(pages.limit(0)).count() == 0
+
+
+WORDY = "The article tells of many things in long sentences, one after the other, to its end. "
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div class='layout has-sidebar'><article><p>Body</p></article></div>", "Body"),
+    ("<div class='no-header'><p>Body</p></div>", "Body"),
+    ("<div class='entry-content share-enabled'><p>Body</p></div>", "Body"),
+    ("<div class='sidebar-left wrapper'><main><p>Body</p></main></div>", "Body"),
+    (f"<main><p>{WORDY}</p></main><div class='sidebar'><p>aside</p></div>", WORDY.strip()),
+    (f"<p>{WORDY * 3}</p><ol class='reader-replies'><li><article>Nice!</article></ol>",
+     (WORDY * 3).strip()),
+    (f"<p>{WORDY}</p><div class='comments'><article>Nice!</article></div>", WORDY.strip()),
+    ("<header>Site</header><article><header><h1>Title</h1></header>Body</article>", "Title\nBody"),
+    ("<div class='nav-menu'>Home</div><p>Body</p><footer>Imprint</footer>", "Body"),
+    ("<p>Body</p><div class='cookie-notice'>We use cookies</div>", "Body"),
+])
+def test_layouts(spark, page, text):
+    pages = spark.createDataFrame([(1, "https://a.example/x", page)],
+                                  "page_id long, url string, html string")
+    assert html_templates.extract_main_text(pages).first().text == text
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<nav>x<p>y", '<a href="x', "<div class='sidebar'>a<p>b", "<script>x", "<!-- x"):
+        started = time.perf_counter()
+        html_templates.parse(piece * (200_000 // len(piece)))
+        assert time.perf_counter() - started < 5, piece

@@ -19,6 +19,7 @@ import hashlib
 import html
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,7 @@ from textloom.llm.url_templates import url_parts
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Element names of HTML by what this module does with them.
@@ -52,8 +54,12 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie "
     "cookies consent notice popup modal overlay newsletter subscribe subscription share sharing "
-    "social comment comments disqus related recommended login signup pagination pager widget "
-    "toolbar".split())
+    "social comment comments disqus replies related recommended login signup pagination pager "
+    "widget toolbar".split())
+#: Words that make a class tell of a page's layout or state rather than of the element's content.
+STATE_WORDS = frozenset("has no not with without enabled disabled".split())
+#: Sections made of small articles of their own.
+CARD_WORDS = frozenset("comment comments disqus related recommended replies".split())
 #: An element that begins inside one of these ends it.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -74,50 +80,76 @@ class _Element:
         self.hash = 0
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element is no part of the article: ``tag``, ``mark``, ``card`` or nothing."""
     if tag in DROPPED or (tag == "footer") or (tag == "header" and not in_article):
-        return True
+        return "tag"
     if not attributes or tag in HEADINGS or tag in ("html", "body", "main"):
-        return False
+        return ""
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[\s_-]+", "".join(values).lower())
+        value = "".join(values).lower()
         if name.lower() == "role":
-            if DROPPED_ROLES.intersection(words):
-                return True
+            if DROPPED_ROLES.intersection(re.split(r"[\s_-]+", value)):
+                return "tag"
         elif tag != "article" or name.lower() == "class":
-            marked = DROPPED_WORDS.intersection(words)
+            marked = set()
+            for one in value.split():
+                words = set(re.split(r"[_-]+", one))
+                if not words & STATE_WORDS:
+                    marked |= words & DROPPED_WORDS
             if marked - {"header"} or ("header" in marked and not in_article):
-                return True
-    return False
-
-
-def _drop_end(source: str, tag: str, at: int) -> int:
-    """Where an element without wanted content ends: after its matching end tag."""
-    if tag in RAW:
-        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-        return end.end() if end else len(source)
-    depth = 1
-    for token in re.compile(
-        rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?){re.escape(tag)}(?=[\s/>])",
-        re.I | re.S,
-    ).finditer(source, at):
-        if token[2] is None:
-            continue
-        depth += -1 if token[2] else 1
-        if not depth:
-            close = source.find(">", token.end())
-            return len(source) if close < 0 else close + 1
-    # Never closed: it ends where its parent does; the caller goes on behind the start tag.
-    return -1
+                return "card" if marked & CARD_WORDS else "mark"
+    return ""
+
+
+class _Ends:
+    """Where elements end, found once per page and tag."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.by_tag: dict[str, dict[int, int]] = {}
+        self.articles = [m.start() for m in _ARTICLE.finditer(source)]
+
+    def _matched(self, tag: str) -> dict[int, int]:
+        ends, open_ = {}, []
+        for token in re.compile(
+            rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?){re.escape(tag)}(?=[\s/>])",
+            re.I | re.S,
+        ).finditer(self.source):
+            if token[2] is None:
+                continue
+            if not token[2]:
+                open_.append(token.start())
+            elif open_:
+                close = self.source.find(">", token.end())
+                ends[open_.pop()] = len(self.source) if close < 0 else close + 1
+        return ends
+
+    def of(self, tag: str, start: int, at: int) -> int:
+        """The end of the element whose start tag lies from ``start`` to ``at``; -1 if it is never
+        closed and so ends where its parent does."""
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.source, at)
+            return end.end() if end else len(self.source)
+        if tag not in self.by_tag:
+            self.by_tag[tag] = self._matched(tag)
+        return self.by_tag[tag].get(start, -1)
+
+    def is_page(self, start: int, end: int) -> bool:
+        """Whether a stretch is most of the page and holds its article."""
+        first = bisect_left(self.articles, start)
+        return 2 * (end - start) > len(self.source) and (
+            first < len(self.articles) and self.articles[first] < end)
 
 
 def parse(source: str) -> _Element:
     """The wanted elements of a page."""
     root = _Element("")
-    stack = [root]
+    stack, ends = [root], _Ends(source)
     articles = at = 0
+    last = source.rfind(">")  # nothing behind it can be a tag
     while at < len(source):
-        token = _TOKEN.search(source, at)
+        token = _TOKEN.search(source, at) if at <= last else None
         if token is None:
             stack[-1].parts.append(source[at:])
             break
@@ -157,9 +189,15 @@ def parse(source: str) -> _Element:
                     break
                 if stack[depth].tag in _KEEPS_INSIDE[tag]:
                     break
-        if _unwanted(tag, token[3], articles > 0):
-            end = -1 if token[3].endswith("/") and tag in ("svg", "math") else _drop_end(
-                source, tag, at)
+        reason = _unwanted(tag, token[3], articles > 0)
+        if reason:
+            end = -1 if token[3].endswith("/") and tag in ("svg", "math") else ends.of(
+                tag, token.start(), at)
+            # A class word does not do away with an element that is most of the page.
+            if reason == "mark" and ends.is_page(
+                token.start(), end if end >= 0 else len(source)):
+                reason = ""
+        if reason:
             if end >= 0:
                 at = end
                 if tag in BLOCKS:
