@@ -6,7 +6,9 @@ import random
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -27,6 +29,7 @@ from textloom.llm import (
     suffix_sort,
     url_templates,
 )
+from textloom.llm.oracle import url_template_sql
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, digest string"
 
@@ -215,6 +218,50 @@ def test_url_templates_generalise_merge_and_reject(spark):
     assert template[300] == template[359] == "/users/*"
 
 
+def test_url_templates_without_labels_have_their_parents_purity(spark):
+    rows = [(i, f"http://bad.org/{'ab'[i % 2]}/x{i}") for i in range(120)]
+    rows += [(200 + i, f"http://bad.org/c/d/{i}/e/f/{'gh'[i % 2]}") for i in range(10)]
+    rows += [(300 + i, f"http://good.org/{'ab'[i % 2]}/x{i}") for i in range(600)]
+    rows += [(1000, "http://good.org/c"), (1001, "http://new.org/"), (1002, "http://other.io/"),
+             (1003, None), (1004, "http://bad.org"), (1004, "http://bad.org"), (None, "http://bad.org/c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(
+        [(i, True) for i in range(120)] + [(300 + i, False) for i in range(600)],
+        "page_id long, rejected boolean")
+    got = url_templates.judge_urls(pages, rules=(), labels=labels).collect()
+    assert len(got) == len(rows)
+    verdict = {r.page_id: r.verdict for r in got}
+    # Nothing below /c of the blocked host has a label; it is judged by its parent.
+    assert all(verdict[i] == "block" for i in [*range(120), *range(200, 210), 1004, None])
+    assert all(verdict[i] == "allow" for i in [*range(300, 900), 1000, 1001, 1002, 1003])
+    by_id = {r.page_id: r for r in got}
+    assert by_id[200].template == "/c/d/*/e/f/g" and by_id[201].template == "/c/d/*/e/f/h"
+    assert by_id[200].evidence == 0 and by_id[0].evidence == 120
+    assert len({r.purity for r in got if not r.evidence}) > 3
+
+
+def test_url_templates_equal_sql_on_deep_paths(spark):
+    rng, rows = random.Random(11), []
+    for i in range(1500):
+        host = rng.choice(["a.net", "b.net", "x.example.com", "c.org", "www.example.com", "d.io"])
+        deep = [rng.choice(["es", "fr", "en", "q|r", "*", f"n{i}"]) for _ in range(rng.randrange(7))]
+        if rng.random() < 0.3:
+            deep = [rng.choice(["es", "en"]), *["".join(rng.choices("abcde", k=4)) for _ in range(3)]]
+        if i % 100 < 2:
+            deep = ["long"] * 300 + deep
+        rows.append((i, f"https://{host}/{'/'.join(deep)}{rng.choice(['', '/', '?a=/b', '#/es'])}"))
+    rows += [(1501, None), (1502, ""), (1503, "nothing"), (1504, "x://"), (1505, "x:///es/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    base = duckdb.connect()
+    base.register("pages", pages.toPandas())
+    want = base.sql(url_template_sql()).df()
+    got = url_templates.judge_urls(pages).toPandas()
+    order = sorted(want.columns)
+    assert sorted(got.columns) == order and len(got) == len(rows)
+    both = [f[order].sort_values("page_id").reset_index(drop=True) for f in (got, want)]
+    pd.testing.assert_frame_equal(*both, check_dtype=False)
+
+
 def test_native_plans(spark, sf):
     for frame in (
         url_templates.judge_urls(spark.read.parquet(f"{sf}/pages.parquet")),

@@ -48,10 +48,10 @@ FROM texts t JOIN rules r ON regexp_matches(' ' || t.sentences || ' ', r.pattern
 
 
 def url_template_sql(
-    levels: int = 3, most_children: int = 32, literal_share: float = 0.05, z: float = 2.58,
-    strength: float = 10.0, prior: float = 0.1, reject_at: float = 0.5,
+    most_children: int = 32, literal_share: float = 0.05, z: float = 2.58,
+    strength: float = 10.0, prior: float = 0.1, reject_at: float = 0.5, inherit_at: float = 0.8,
 ) -> str:
-    """The tree of path templates level by level, each level four steps."""
+    """The tree of path templates, one branching per step of a recursive query."""
     fits = [
         (f"(host = {_quoted(h)} OR ends_with(host, {_quoted('.' + h)})) "
          f"AND starts_with(path, {_quoted(p)})", verb, h + p)
@@ -59,8 +59,8 @@ def url_template_sql(
     rule = " ".join(f"WHEN {f} THEN {_quoted(text)}" for f, _, text in fits)
     action = " ".join(f"WHEN {f} THEN {_quoted(verb)}" for f, verb, _ in fits)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    steps = [rf"""
-WITH cut AS (
+    return rf"""
+WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0
     THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
@@ -68,59 +68,85 @@ parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 parsed AS (
   SELECT *, CASE {rule} END AS rule, CASE {action} END AS action,
-         list_transform(list_filter(string_split(path, '/'), lambda s: s <> '')[1:{levels}],
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
            lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS segments
   FROM parts),
-t0 AS (
-  SELECT host, segments, count(*) AS pages,
-         coalesce(sum((action = 'block')::BIGINT), 0) AS rejected, count(action) AS labelled,
-         '' AS template, {prior}::DOUBLE AS purity
-  FROM parsed GROUP BY host, segments)"""]
-    for n in range(1, levels + 1):
-        steps.append(f"""
-s{n} AS (SELECT *, CASE WHEN len(segments) >= {n} THEN segments[{n}] END AS segment FROM t{n - 1}),
-c{n} AS (
-  SELECT host, template, segment, sum(pages) AS pages, sum(rejected)::DOUBLE AS rejected,
-         sum(labelled)::DOUBLE AS labelled FROM s{n} GROUP BY ALL),
-n{n} AS (
-  SELECT *, CASE WHEN count(segment) OVER p > {most_children} AND segment IS NOT NULL
-    AND pages < sum(CASE WHEN segment IS NOT NULL THEN pages END) OVER p * {literal_share}
-    THEN '*' ELSE segment END AS label
-  FROM c{n} WINDOW p AS (PARTITION BY host, template)),
-b{n} AS (
-  SELECT host, template, label, sum(rejected) AS rejected, sum(labelled) AS labelled
-  FROM n{n} GROUP BY ALL),
-l{n} AS (
-  SELECT *, lag(rejected) OVER w AS r0, lag(labelled) OVER w AS n0, lag(label IS NULL) OVER w AS x0
-  FROM b{n}
-  WINDOW w AS (PARTITION BY host, template, labelled > 0
-    ORDER BY (rejected + 1) / (labelled + 2), label NULLS FIRST)),
-g{n} AS (
-  SELECT *, sum(CASE WHEN n0 IS NULL OR labelled = 0 OR label IS NULL OR x0
-    OR abs(rejected / labelled - r0 / n0) > {z} * sqrt((r0 + rejected) / (n0 + labelled)
-      * (1 - (r0 + rejected) / (n0 + labelled)) * (1 / n0 + 1 / labelled)) THEN 1 ELSE 0 END)
-    OVER (PARTITION BY host, template, labelled > 0
-      ORDER BY (rejected + 1) / (labelled + 2), label NULLS FIRST) AS branch
-  FROM l{n}),
-m{n} AS (
-  SELECT host, template, label,
-         coalesce(array_to_string(list_sort(list_filter(list(label) OVER w, lambda x: x IS NOT NULL)),
-           '|'), '') AS name,
-         (sum(rejected) OVER w + {strength * prior}) / (sum(labelled) OVER w + {strength}) AS purity
-  FROM g{n} WINDOW w AS (PARTITION BY host, template, labelled > 0, branch)),
-t{n} AS (
-  SELECT s.host, s.segments, s.pages, s.rejected, s.labelled,
+paths AS (
+  SELECT host, segments, count(*)::DOUBLE AS pages,
+         coalesce(sum((action = 'block')::BIGINT), 0)::DOUBLE AS rejected,
+         count(action)::DOUBLE AS labelled
+  FROM parsed GROUP BY host, segments),
+hosts AS (
+  SELECT host, regexp_extract(host, '[^.]*$') AS top, sum(rejected) AS r, sum(labelled) AS n
+  FROM paths GROUP BY host),
+tops AS (
+  SELECT top, (sum(r) + {strength} * (SELECT (sum(r) + {strength * prior}) / (sum(n) + {strength})
+    FROM hosts)) / (sum(n) + {strength}) AS above
+  FROM hosts GROUP BY top),
+t AS (
+  SELECT p.host, p.segments, p.segments AS rest, p.pages, p.rejected, p.labelled, '' AS template,
+         h.n AS evidence, (h.r + {strength} * o.above) / (h.n + {strength}) AS purity,
+         false AS done
+  FROM paths p JOIN hosts h ON p.host = h.host JOIN tops o ON h.top = o.top
+  UNION ALL (
+  WITH live AS (SELECT * FROM t WHERE NOT done),
+  prefix AS (
+    SELECT host, template, coalesce(list_min(list_filter(range(1, len(min(rest)) + 1),
+      lambda i: min(rest)[i] IS DISTINCT FROM max(rest)[i])) - 1, len(min(rest))) AS shared
+    FROM live GROUP BY host, template),
+  stepped AS (
+    SELECT l.host, l.segments, l.pages, l.rejected, l.labelled, l.evidence, l.purity,
+           l.template || array_to_string(
+             list_transform(l.rest[1:p.shared], lambda s: '/' || s), '') AS template,
+           l.rest[p.shared + 1:] AS rest, l.rest[p.shared + 1] AS segment
+    FROM live l JOIN prefix p ON l.host = p.host AND l.template = p.template),
+  children AS (
+    SELECT host, template, segment, sum(pages) AS pages, sum(rejected) AS rejected,
+           sum(labelled) AS labelled, min(purity) AS above FROM stepped GROUP BY ALL),
+  named AS (
+    SELECT *, count(*) OVER p AS ways,
+      CASE WHEN count(segment) OVER p > {most_children} AND segment IS NOT NULL
+      AND pages < sum(CASE WHEN segment IS NOT NULL THEN pages END) OVER p * {literal_share}
+      THEN '*' ELSE segment END AS label
+    FROM children WINDOW p AS (PARTITION BY host, template)),
+  branches AS (
+    SELECT host, template, label, sum(rejected) AS rejected, sum(labelled) AS labelled,
+           min(above) AS above
+    FROM named GROUP BY ALL),
+  lagged AS (
+    SELECT *, lag(rejected) OVER w AS r0, lag(labelled) OVER w AS n0,
+           lag(label IS NULL) OVER w AS x0
+    FROM branches
+    WINDOW w AS (PARTITION BY host, template, labelled > 0
+      ORDER BY (rejected + 1) / (labelled + 2), label NULLS FIRST)),
+  grouped AS (
+    SELECT *, sum(CASE WHEN n0 IS NULL OR labelled = 0 OR label IS NULL OR x0
+      OR abs(rejected / labelled - r0 / n0) > {z} * sqrt((r0 + rejected) / (n0 + labelled)
+        * (1 - (r0 + rejected) / (n0 + labelled)) * (1 / n0 + 1 / labelled)) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY host, template, labelled > 0
+        ORDER BY (rejected + 1) / (labelled + 2), label NULLS FIRST) AS branch
+    FROM lagged),
+  merged AS (
+    SELECT host, template, label,
+           coalesce(array_to_string(
+             list_sort(list_filter(list(label) OVER w, lambda x: x IS NOT NULL)), '|'), '') AS name,
+           sum(labelled) OVER w AS evidence,
+           (sum(rejected) OVER w + {strength} * above) / (sum(labelled) OVER w + {strength})
+             AS purity
+    FROM grouped WINDOW w AS (PARTITION BY host, template, labelled > 0, branch))
+  SELECT s.host, s.segments, s.rest[2:] AS rest, s.pages, s.rejected, s.labelled,
          CASE WHEN s.segment IS NULL THEN s.template ELSE s.template || '/' || m.name END
            AS template,
-         {"CASE WHEN s.segment IS NULL THEN s.purity ELSE m.purity END" if n > 1 else "m.purity"}
-           AS purity
-  FROM s{n} s
-  JOIN n{n} c ON s.host = c.host AND s.template = c.template
+         CASE WHEN c.ways = 1 THEN s.evidence ELSE m.evidence END AS evidence,
+         CASE WHEN c.ways = 1 THEN s.purity ELSE m.purity END AS purity,
+         s.segment IS NULL AS done
+  FROM stepped s
+  JOIN named c ON s.host = c.host AND s.template = c.template
     AND s.segment IS NOT DISTINCT FROM c.segment
-  JOIN m{n} m ON c.host = m.host AND c.template = m.template
-    AND c.label IS NOT DISTINCT FROM m.label)""")
-    return ",".join(steps) + f"""
+  JOIN merged m ON c.host = m.host AND c.template = m.template
+    AND c.label IS NOT DISTINCT FROM m.label))
 SELECT p.page_id, p.host, p.path, p.rule,
-       coalesce(p.action, CASE WHEN t.purity >= {reject_at} THEN 'block' ELSE 'allow' END)
-         AS verdict, t.template, t.purity
-FROM parsed p JOIN t{levels} t ON p.host = t.host AND p.segments = t.segments"""
+       coalesce(p.action, CASE WHEN t.purity >= CASE WHEN t.evidence > 0 THEN {reject_at}
+         ELSE {inherit_at} END THEN 'block' ELSE 'allow' END) AS verdict,
+       t.template, t.evidence::BIGINT AS evidence, t.purity
+FROM parsed p JOIN t ON t.done AND p.host = t.host AND p.segments = t.segments"""
