@@ -7,12 +7,16 @@ passage, and passages of at least ``least_bytes`` are reported: short chunks als
 
 One narrow row per chunk is shuffled. A chunk that very many documents share is collapsed inside
 each piece of work first: one row goes on to meet the others, and the later ones, already known as
-repeats, are dealt out by document instead.
+repeats, are dealt out by document and place instead.
+
+A passage is found by the chunks that lie whole inside it, so about a chunk is lost at each end.
+`repeated_passages` therefore cuts finer than `chunk_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,8 +94,10 @@ def _collapsed(ids, texts, bits, least, most) -> Iterator[pa.RecordBatch]:
         seen.setdefault(digest, (doc, start))
     known = pa.array(earlier, pa.int64())
     yield pa.record_batch([
-        # Known repeats go by a digest of their own document: they meet nobody.
-        pa.array([d if e is None else b"" for d, e in zip(digests, earlier, strict=True)],
+        # Known repeats need to meet nobody. They go by document and place, in keys of at most
+        # 2^16 bytes of text; a digest is longer, so it never equals such a key.
+        pa.array([d if e is None else struct.pack(">qi", doc, start >> 16)
+                  for d, e, doc, start in zip(digests, earlier, docs, starts, strict=True)],
                  pa.binary()),
         pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()),
         known,
@@ -109,7 +115,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.repeat(docs[starts], ends - starts)
         later = np.ones(len(docs), bool)
         later[starts] = False
-        out = known | (later & (digest != b""))
+        out = known | later
         earlier = np.where(known, table.column("earlier").fill_null(0).to_numpy(), first)
         yield pa.record_batch([
             pa.array(docs[out]), pa.array(table.column("start").to_numpy()[out]),
@@ -124,7 +130,8 @@ def chunk_repeats(
 ) -> DataFrame:
     """doc_id, start, size, earlier: the chunks that occur before, with a document that has them.
 
-    Positions are bytes of the UTF-8 text. Rows without an id are left out; ids must not repeat.
+    Positions are bytes of the UTF-8 text. Null and empty texts have no chunks. Rows without an id
+    are left out; rows of one id count as one document with several texts.
     """
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -132,23 +139,22 @@ def chunk_repeats(
     ).mapInArrow(
         _chunks(bits, least, most),
         "digest binary, doc_id long, start long, size int, earlier long")
-    # Known repeats have an empty digest and spread by document.
-    spread = F.when(F.col("earlier").isNull(), F.xxhash64("digest")).otherwise(
-        F.xxhash64("doc_id", "start"))
     return (
-        rows.repartition(spread).sortWithinPartitions("digest", "doc_id", "start")
+        rows.repartition("digest").sortWithinPartitions("digest", "doc_id", "start")
         .mapInArrow(_repeats, "doc_id long, start long, size long, earlier long")
     )
 
 
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 100,
-    bits: int = 5, least: int = 16, most: int = 256,
+    bits: int = 4, least: int = 16, most: int = 256,
 ) -> DataFrame:
     """doc_id, start, n_bytes, n_chunks, earlier_doc_id: passages made of repeated chunks.
 
-    ``earlier_doc_id`` is the smallest id among the documents that the passage's chunks were seen
-    in before (the same document if it repeats itself). Texts without repeats give no row.
+    ``earlier_doc_id`` is the smallest of the documents named for its chunks by `chunk_repeats`: each
+    has the chunk and comes before (or is the same document), but need not be the first of all, as
+    a hot chunk's repeats are told inside their piece of work. Texts without repeats give no row, nor do
+    null and empty texts and rows without an id; ids should not repeat.
     """
     chunks = chunk_repeats(docs, id_col, text_col, bits, least, most)
     by_doc = Window.partitionBy("doc_id").orderBy("start")
