@@ -500,6 +500,36 @@ def test_chunk_repeats_match_brute_force(spark):
     assert chunk_dedup.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_match_brute_force(spark):
+    rng = random.Random(8)
+    shared = [" ".join(rng.choice(WORDS) + str(rng.randrange(10**4)) for _ in range(52))
+              for _ in range(5)]
+    rows = [(3 * i, f"{prose(4000 + i, 40)} {shared[i % 5] if i % 4 else ''} {prose(5000 + i, 40)}"
+             .replace("the", f"t{i}")) for i in range(60)]
+    rows += [(1000, shared[0] * 4), (1001, None), (1002, ""), (None, shared[1]), (1003, "é" * 70000)]
+    first, holders, runs = {}, {}, {}
+    for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        data, start, last = (text or "").encode(), 0, None
+        for end in chunk_dedup.chunk_ends(data, 4, 16, 256):
+            owner = first.setdefault(data[start:end], (doc, start))
+            holders.setdefault(data[start:end], set()).add(doc)
+            if owner != (doc, start):
+                last = start if last is None else last
+                runs.setdefault((doc, last), []).append(data[start:end])
+            else:
+                last = None
+            start = end
+    want = {(doc, at, sum(map(len, run)), len(run))
+            for (doc, at), run in runs.items() if sum(map(len, run)) >= 100}
+    got = chunk_dedup.repeated_passages(documents(spark, rows).repartition(3)).collect()
+    assert len(got) == len(want) and want == {
+        (r.doc_id, r.start, r.n_bytes, r.n_chunks) for r in got}
+    assert all(r.earlier_doc_id <= r.doc_id and any(
+        r.earlier_doc_id in holders[c] for c in runs[r.doc_id, r.start]) for r in got)
+    # Every later document with a passage of 52 words is found.
+    assert {r.doc_id for r in got} >= {3 * i for i in range(10, 60) if i % 4}
+
+
 # ---- decontamination
 
 def least_edits(item, text):
@@ -512,6 +542,39 @@ def least_edits(item, text):
     return int(row.min())
 
 
+def test_short_items_are_found_as_whole_words(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["x = 1", "Yes", "ab ab", "42", "日本", "", " \t", "c++", "no\u00a0way", "Yes"]
+    alphabet = ["yes", "YES", "ab", "x", "=", "1", "42", "420", "c++", "c++x", "日本", "no way", "no",
+                "\n", "way", "yesno", "日本x", "(yes)"]
+    rows = [(i, rng.choice([" ", "", "  "]).join(rng.choices(alphabet, k=rng.randrange(12))))
+            for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "yes"), (103, "z " * 400 + "x = 1" + " z" * 400)]
+    want = set()
+    for doc, text in rows:
+        text = decontamination.normalise(text or "")
+        for item, needle in enumerate(map(decontamination.normalise, texts)):
+            for at in range(len(text) - len(needle) + 1) if needle else ():
+                end = at + len(needle)
+                if text[at:end] == needle and not (
+                        at and text[at - 1].isalnum() and needle[0].isalnum()) and not (
+                        end < len(text) and text[end].isalnum() and needle[-1].isalnum()):
+                    want.add((doc, item, 0, end))
+                    break
+    benchmark = spark.createDataFrame(
+        [*enumerate(texts), (1, "Yes"), (20, None)], "item_id long, text string")
+    got = decontamination.contaminated(documents(spark, rows), benchmark).collect()
+    assert len(got) == len(want) and want == {tuple(r) for r in got}
+    kept = decontamination.drop_contaminated(documents(spark, rows), benchmark).collect()
+    assert {r.doc_id for r in kept} == {i for i, _ in rows} - {i for i, *_ in want}
+    items = decontamination.Items(list(range(len(texts))), texts, 10, 0.1)
+    monkeypatch.setattr(decontamination, "_PIECE", 7)
+    found = decontamination.find_items([t or "" for _, t in rows], items)
+    assert {(row, items.ids[item], *rest) for row, item, *rest in found} == {
+        (row, item, 0, end) for row, (doc, _) in enumerate(rows)
+        for d, item, _, end in want if d == doc}
+
+
 def test_items_are_found_within_the_budget(monkeypatch):
     rng = random.Random(2)
     texts = [prose(300 + i, rng.randint(12, 40)) for i in range(6)] + ["tiny", "Straße öffnen " * 3]

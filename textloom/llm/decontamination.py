@@ -5,7 +5,8 @@ occurs in a text if some part of the text turns into it with at most e = rate x
 q-gram lemma such a part shares at least n - q + 1 - q x e q-grams with the item, and all of them lie
 on e + 1 neighbouring diagonals (position in the text minus position in the item). Bands of 2 (e + 1)
 diagonals, each overlapping half of the next, therefore hold a true occurrence whole. Bands with
-enough shared q-grams are verified by edit distance along the band.
+enough shared q-grams are verified by edit distance along the band. Items of fewer than q characters
+have no q-gram; they are found unchanged and as whole words, all at once by an automaton.
 
 Every text is read once, where it lies; nothing is shuffled. Items are sent to the tasks in blocks
 of bounded size: more items make more passes, never a larger broadcast.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,9 +53,16 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str], q: int, rate: float):
         self.q = q
-        kept = [(i, t) for i, t in zip(ids, map(normalise, texts), strict=True) if len(t) >= q]
-        self.ids = [i for i, _ in kept]
+        named = list(zip(ids, map(normalise, texts), strict=True))
+        kept = [(i, t) for i, t in named if len(t) >= q]
+        short = [(i, t) for i, t in named if 0 < len(t) < q]
+        # Short items are numbered after the others.
+        self.ids = [i for i, _ in kept] + [i for i, _ in short]
         self.texts = [t for _, t in kept]
+        self.short: dict[str, list[int]] = {}
+        for number, (_, text) in enumerate(short, len(kept)):
+            self.short.setdefault(text, []).append(number)
+        self._automaton = None
         lengths = np.array([len(t) for t in self.texts], np.int64)
         # No more edits than leave at least one q-gram untouched.
         self.edits = np.minimum((lengths * rate).astype(np.int64), (lengths - q) // q)
@@ -70,6 +79,30 @@ class Items:
         self._maybe[(self._grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
         self.reach = int((lengths + 3 * self.edits).max(initial=0)) + q + 3
 
+    def whole_words(self, piece: str, is_start: bool) -> Iterator[tuple[int, int]]:
+        """(item, end) of the short items in a piece of a text, also of repeated ones.
+
+        A letter or digit at an item's border must not go on with another one. What lies at a border
+        of the piece is decided in the neighbouring piece, which overlaps this one.
+        """
+        if not self.short:
+            return
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for text, numbers in self.short.items():
+                self._automaton.add_word(text, (len(text), numbers))
+            self._automaton.make_automaton()
+        for last, (length, numbers) in self._automaton.iter(piece):
+            at, end = last + 1 - length, last + 1
+            if at == 0 and not is_start:
+                continue
+            if at and piece[at - 1].isalnum() and piece[at].isalnum():
+                continue
+            if end < len(piece) and piece[end].isalnum() and piece[last].isalnum():
+                continue
+            for number in numbers:
+                yield number, end
+
     def shared(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, position in the text, position in the item) of all shared q-grams."""
         text_at = np.flatnonzero(
@@ -132,15 +165,21 @@ def find_items(texts: list[str], items: Items) -> list[tuple[int, int, int, int]
     """(text, item, edits, end of the part in the normalised text), the best per text and item."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for pieces in _groups(texts, items.reach):
-        joined = "\n".join(p for _, _, p in pieces)  # a line end is in no normalised text
-        starts = np.cumsum([0, *[len(p) + 1 for _, _, p in pieces]])
+        joined = "\n".join(p for _, _, p, _ in pieces)  # a line end is in no normalised text
+        starts = np.cumsum([0, *[len(p) + 1 for _, _, p, _ in pieces]])
         unsettled = []
+        for row, shift, piece, whole in pieces:
+            for item, end in items.whole_words(piece, shift == 0):
+                # A piece that is not the last ends inside the next one, which sees what follows.
+                if end < len(piece) or whole:
+                    found = (0, shift + end)
+                    best[row, item] = min(best.get((row, item), found), found)
         for item, low, high in items.bands(_gram_hashes(_points(joined), items.q)):
             needle, edits = items.texts[item], int(items.edits[item])
             first = max(int(np.searchsorted(starts, low, "right")) - 1, 0)
             stop = high + len(needle) + edits
             while first < len(pieces) and starts[first] < stop:
-                row, shift, piece = pieces[first]
+                row, shift, piece, _ = pieces[first]
                 start = max(low - edits - int(starts[first]), 0)
                 part = piece[start:max(stop - int(starts[first]), 0)]
                 at = part.find(needle)
@@ -163,8 +202,9 @@ def find_items(texts: list[str], items: Items) -> list[tuple[int, int, int, int]
     return sorted((row, item, *found) for (row, item), found in best.items())
 
 
-def _groups(texts: list[str], overlap: int) -> Iterator[list[tuple[int, int, str]]]:
-    """(text, offset, piece) lists of bounded size; pieces of one text overlap."""
+def _groups(texts: list[str], overlap: int) -> Iterator[list[tuple[int, int, str, bool]]]:
+    """(text, offset, piece, whether the text ends with it) lists of bounded size; pieces of one
+    text overlap."""
     waiting, size = [], 0
     for row, text in enumerate(texts):
         text = normalise(text)
@@ -174,7 +214,7 @@ def _groups(texts: list[str], overlap: int) -> Iterator[list[tuple[int, int, str
             if size and size + len(piece) > _PIECE:
                 yield waiting
                 waiting, size = [], 0
-            waiting.append((row, start, piece))
+            waiting.append((row, start, piece, start + len(piece) >= len(text)))
             size += len(piece)
             start += _PIECE
             if start >= len(text):
@@ -201,10 +241,13 @@ def _search(items):
 def item_blocks(
     benchmark: DataFrame, q: int, rate: float, block_chars: int
 ) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_chars`` characters."""
+    """The benchmark in blocks of about ``block_chars`` characters; repeated rows count once.
+
+    A character takes about 40 bytes in every Python worker, so a block of 4 million takes 160 MB.
+    """
     known = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
-    ).where("text is not null")
+    ).where("text is not null").distinct()
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for block in range(blocks):
@@ -216,13 +259,14 @@ def item_blocks(
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    q: int = 10, rate: float = 0.08, block_chars: int = 20_000_000,
+    q: int = 10, rate: float = 0.08, block_chars: int = 4_000_000,
 ) -> DataFrame:
     """doc_id, item_id, edits, end_at: one row per text and benchmark item that occurs in it.
 
     ``end_at`` is where the best occurrence ends in the normalised text. Clean, null and empty texts
-    give no row; items with fewer than ``q`` normalised characters have no q-gram and occur nowhere.
-    Equal items are reported under each of their ids.
+    give no row, nor do null and empty items. Items with fewer than ``q`` normalised characters must
+    occur unchanged between characters that do not carry on a word. Equal items are reported under
+    each of their ids, repeated rows of the benchmark once, repeated rows of ``docs`` each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -239,7 +283,7 @@ def contaminated(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = 10, rate: float = 0.08,
-    block_chars: int = 20_000_000,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs, all columns as they were."""
     spark = docs.sparkSession
