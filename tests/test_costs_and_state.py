@@ -1,5 +1,6 @@
 """Accounting and operational state."""
 
+import bisect
 import json
 import math
 import random
@@ -82,6 +83,28 @@ def test_nearest_rank(spark, percent):
                    for g, vs in groups.items()}
 
 
+def test_merged_sketches_keep_the_rank(spark):
+    rng = random.Random(4)
+    rows = [(g, day, rng.choice([rng.gauss(0, 1e3), float(rng.randint(0, 9))]))
+            for g, n in (("one", 1), ("few", 30), ("many", 20000)) for day in range(5)
+            for _ in range(n)]
+    frame = spark.createDataFrame(
+        [*rows, ("none", 1, None), ("few", 1, None), ("few", 2, float("nan"))],
+        "g string, day int, v double").repartition(7)
+    daily = costs.quantile_sketches(frame, ["g", "day"], "v")
+    assert daily.count() == 15
+    for percent in (5, 50, 95):
+        got = {r.g: r for r in costs.merged_quantile(daily, ["g"], percent, "p").collect()}
+        assert set(got) == {"one", "few", "many"}
+        for g, r in got.items():
+            values = sorted(v for key, _, v in rows if key == g)
+            assert r.rows == len(values) and r.p in values
+            low, high = bisect.bisect_left(values, r.p), bisect.bisect_right(values, r.p)
+            slack = 0.02 * len(values) + 1
+            assert low - slack <= percent / 100 * len(values) <= high + slack
+    assert costs.merged_quantile(daily.limit(0), ["g"], 95, "p").count() == 0
+
+
 def test_guarded_p95(spark):
     frame = spark.createDataFrame([("a", i) for i in range(19)] + [("b", i) for i in range(20)],
                                   "g string, v int")

@@ -262,6 +262,32 @@ def nearest_rank(
     )
 
 
+def quantile_sketches(
+    df: DataFrame, keys: Sequence[str], value: str, size: int = 400, name: str = "sketch"
+) -> DataFrame:
+    """One mergeable KLL sketch per key: keep these rows and merge them for any coarser key.
+
+    Sketches are built before the shuffle and have a few kilobytes whatever the number of rows.
+    Null values and NaN are left out; a key with nothing else has no row.
+    """
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
+        F.kll_sketch_agg_double(v, F.lit(size)).alias(name))
+
+
+def merged_quantile(
+    sketches: DataFrame, keys: Sequence[str], percent: float, name: str, sketch: str = "sketch"
+) -> DataFrame:
+    """keys, rows and an approximate percentile of all values behind the sketches of a key.
+
+    With sketches of size 400 the answer's rank is off by at most one percent of the rows in 99 of
+    100 cases; `nearest_rank` is the exact form.
+    """
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double(sketch).alias("_all")).select(
+        *keys, F.kll_sketch_get_n_double("_all").alias("rows"),
+        F.kll_sketch_get_quantile_double("_all", F.lit(percent / 100.0)).alias(name))
+
+
 def guarded_p95(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """95th percentile only where a key has at least 20 observations."""
     sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(

@@ -816,6 +816,9 @@ RAW: dict[str, str] = {
         FROM attempts a JOIN chunks c ON c.id = a.chunk_id""",
     "p95_nearest_rank": """
         SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL""",
+    "p95_from_sketches": """
+        SELECT event_type, count(value) AS rows, true AS within FROM events
+        WHERE NOT isnan(value) GROUP BY ALL""",
     "guarded_p95": """
         SELECT CAST(user_id AS VARCHAR) AS user_id, status, count(*) AS observations,
           CASE WHEN count(*) >= 20 THEN quantile_disc(cost_usd, 0.95) END AS p95

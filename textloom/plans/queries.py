@@ -1048,6 +1048,23 @@ def p95_nearest_rank(spark, sf):
     )
 
 
+@query
+def p95_from_sketches(spark, sf):
+    """Daily sketches merged per kind of event; ``within`` tells that the rank is right to 2 %."""
+    events = b.table(spark, sf, "events").select(
+        "event_type", F.to_date("ts").alias("day"), "value")
+    merged = costs.merged_quantile(
+        costs.quantile_sketches(events, ["event_type", "day"], "value"), ["event_type"], 95, "p95")
+    # The few merged rows meet every event once, to count what lies below the answer.
+    return events.where("value is not null and not isnan(value)").join(merged, "event_type").groupBy(
+        "event_type", "rows"
+    ).agg(
+        F.avg((F.col("value") < F.col("p95")).cast("double")).alias("_below"),
+        F.avg((F.col("value") <= F.col("p95")).cast("double")).alias("_upto"),
+    ).select("event_type", "rows", (
+        (F.col("_below") <= 0.97) & (F.col("_upto") >= 0.93)).alias("within"))
+
+
 @query
 def guarded_p95(spark, sf):
     return costs.guarded_p95(b.observations(spark, sf).withColumn(
